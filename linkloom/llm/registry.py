@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import media, packing, sharding
+from linkloom.llm import licenses, media, packing, quality, sharding, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     functions = [
+        licenses.op1_license_scan,
+        quality.op4_quality,
         sharding.op6_virtual_slots,
         packing.op7_best_fit_packing,
+        urls.op8_url_filter,
+        toxicity.op9_toxicity,
         media.op10_iso_media,
     ]
     return {f.__name__: f for f in functions}
