@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import licenses, media, packing, quality, sharding, toxicity, urls
+from linkloom.llm import decontaminate, html, jaccard, licenses, media, packing, quality, sharding, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     functions = [
         licenses.op1_license_scan,
+        decontaminate.op2_template_decontamination,
+        html.op3_crf_extraction,
         quality.op4_quality,
+        jaccard.op5_adaptive_prefix_join,
         sharding.op6_virtual_slots,
         packing.op7_best_fit_packing,
         urls.op8_url_filter,
