@@ -199,14 +199,16 @@ def match(w: Words, n_texts: int, block: Block, indexes: dict[int, K.HashIndex])
     return out
 
 
+def _blocks_of(benchmark: DataFrame, item_column: str, text_column: str, most: int) -> Iterator[Block]:
+    items = benchmark.select(F.col(item_column).alias("item_id"), F.col(text_column).cast("string").alias("text")).where("text is not null").distinct().orderBy("item_id", "text")
+    return build_blocks(map(tuple, items.toLocalIterator()), most)  # one partition of the benchmark, then one block at a time
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """A row for every passage of an item in a text: ids, word span, share of the item, slots, and whether its values are the item's."""
     kind, item_kind = docs.schema[id_column].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString()
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     schema = f"doc_id {kind}, item_id {item_kind}, first_word long, end_word long, coverage double, slots int, same_values boolean"
-    items = benchmark.select(F.col(item_column).alias("item_id"), F.col(item_text_column).cast("string").alias("text")).where("text is not null").distinct().orderBy("item_id", "text")
-    rows = map(tuple, items.toLocalIterator())  # one partition of the benchmark, then one block at a time
-
     def scan(block: Block) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most block_windows windows
 
@@ -233,9 +235,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
 
         return texts.mapInArrow(run, schema)
 
-    scans = [scan(b) for b in build_blocks(rows, block_windows)]
+    scans = [scan(b) for b in _blocks_of(benchmark, item_column, item_text_column, block_windows)]
     return reduce(DataFrame.unionByName, scans) if scans else docs.sparkSession.createDataFrame([], schema)
 
 
+def cleaned(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows, with all their columns, that hold no passage of any item."""
+    at = docs.columns.index(text_column)
+
+    def without(rows: DataFrame, block: Block) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            indexes = {k: K.HashIndex(x[0]) for k, x in own.windows.items()}
+            for batch in batches:
+                for lo, hi, data, offsets in K.chunks(batch.column(at)):
+                    keep = np.ones(hi - lo, bool)
+                    keep[[t for t, *_ in match(canonical(data, offsets), hi - lo, own, indexes)]] = False
+                    yield batch.slice(lo, hi - lo).filter(pa.array(keep))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    return reduce(without, _blocks_of(benchmark, item_column, item_text_column, block_windows), docs)
+
+
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -339,5 +339,28 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     return rows.join(found, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+#: Ids that are broadcast at most; more are joined by shuffling.
+MOST_BROADCAST = 1_000_000
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS) -> DataFrame:
+    """The rows, with all their columns, whose id is the smallest of its component; of rows that share an id, one.
+
+    Rows without an id stay.
+    """
+    found = checkpointed(jaccard_components(docs, id_column, text_column, words).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")))
+
+    def small(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+    losers = small(found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_column)))
+    kept = docs.join(losers, id_column, "left_anti").select(*docs.columns)
+    repeated = found.where("rows > 1 and component_id = doc_id").select(F.col("doc_id").alias(id_column))
+    if repeated.isEmpty():
+        return kept
+    repeated = small(repeated)
+    return kept.join(repeated, id_column, "left_anti").select(*docs.columns).unionByName(kept.join(repeated, id_column, "left_semi").select(*docs.columns).dropDuplicates([id_column]))
+
+
 def op5_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -166,27 +166,50 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     return fit(sets, rows["y"].to_numpy(), (1 - (share or 0.5), share or 0.5))
 
 
+def _scorer(shared):
+    """For a worker: probabilities of a text column, chunk by chunk, as (first row, end row, p)."""
+    own = shared.value
+    index, width = K.HashIndex(own.keys), max(1, len(own.keys))
+
+    def run(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+        for lo, hi, data, offsets in K.chunks(column):
+            text, h = features(data, offsets)
+            at = index.find(h)
+            hit = np.unique(text[at >= 0] * width + at[at >= 0])
+            text, at = hit // width, hit % width
+            total, norm = (np.bincount(text, own.weights[at, j] if len(at) else None, hi - lo) for j in (0, 1))
+            yield lo, hi, own.probability(total / np.sqrt(np.maximum(norm, 1e-18)) + own.bias)
+
+    return run
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, score, predicted) of every row."""
     kind = docs.schema[id_column].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        index = K.HashIndex(own.keys)
+        scored = _scorer(shared)
         for batch in batches:
-            for lo, hi, data, offsets in K.chunks(batch.column(1)):
-                text, h = features(data, offsets)
-                at = index.find(h)
-                hit = np.unique(text[at >= 0] * max(1, len(own.keys)) + at[at >= 0])
-                text, at = hit // max(1, len(own.keys)), hit % max(1, len(own.keys))
-                total, norm = (np.bincount(text, own.weights[at, j] if len(at) else None, hi - lo) for j in (0, 1))
-                p = own.probability(total / np.sqrt(np.maximum(norm, 1e-18)) + own.bias)
+            for lo, hi, p in scored(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score reaches the threshold."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = _scorer(shared)
+        for batch in batches:
+            for lo, hi, p in scored(batch.column(at)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(p >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -22,7 +22,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         toxicity.op9_toxicity,
         media.op10_iso_media,
     ]
-    return {f.__name__: f for f in functions}
+    return {f.__name__: f for f in functions} | {"pipeline": _pipeline}
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def oracle_sql() -> dict[str, str]:

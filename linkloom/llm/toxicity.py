@@ -218,37 +218,61 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     return build(sets, counts, plain, rows["y"].to_numpy(), rows["_id"].to_pylist(), (1 - (share or 0.0), share or 0.0))
 
 
+def _scorer(shared):
+    """For a worker: (first row, end row, probabilities, evidence) of a text column, chunk by chunk."""
+    own = shared.value
+    find, plain = K.HashIndex(own.keys), K.HashIndex(own.plain)
+
+    def run(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list]]:
+        for lo, hi, data, offsets in K.chunks(column):
+            text, h = terms(data, offsets)
+            some = plain.find(h) >= 0
+            text, h, n, _ = marked(*_counted(text[some], h[some]), _words(data, offsets))
+            at = find.find(h)
+            order = np.lexsort((at, text))
+            order = order[at[order] >= 0]
+            text, at, n = text[order], at[order], n[order]
+            p = np.full(hi - lo, own.alone)
+            evidence: list = [[] for _ in range(hi - lo)]
+            cuts = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else []
+            for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
+                best, cosine, _ = own.nearest(at[a:b], own.vector(at[a:b], n[a:b]))
+                p[text[a]] = own.probability(np.array([own.vote(best, cosine)]))[0]
+                evidence[text[a]] = [{"example": str(own.names[i]), "cosine": float(c), "toxic": int(own.toxic[i])} for i, c in zip(best[:3], cosine[:3], strict=True)]
+            yield lo, hi, p, evidence
+
+    return run
+
+
 def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, score, predicted, evidence) of every row; evidence: the nearest examples."""
     kind = docs.schema[id_column].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by LIMIT and MAX_TERMS
+    proof = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        find, plain = K.HashIndex(own.keys), K.HashIndex(own.plain)
+        scored = _scorer(shared)
         for batch in batches:
-            for lo, hi, data, offsets in K.chunks(batch.column(1)):
-                text, h = terms(data, offsets)
-                some = plain.find(h) >= 0
-                text, h, n, _ = marked(*_counted(text[some], h[some]), _words(data, offsets))
-                at = find.find(h)
-                order = np.lexsort((at, text))
-                order = order[at[order] >= 0]
-                text, at, n = text[order], at[order], n[order]
-                p = np.full(hi - lo, own.alone)
-                evidence: list = [[] for _ in range(hi - lo)]
-                cuts = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else []
-                for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
-                    best, cosine, _ = own.nearest(at[a:b], own.vector(at[a:b], n[a:b]))
-                    p[text[a]] = own.probability(np.array([own.vote(best, cosine)]))[0]
-                    evidence[text[a]] = [{"example": str(own.names[i]), "cosine": float(c), "toxic": int(own.toxic[i])} for i, c in zip(best[:3], cosine[:3], strict=True)]
-                proof = pa.array(evidence, pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), proof], names=["doc_id", "score", "predicted", "evidence"])
+            for lo, hi, p, evidence in scored(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), pa.array(evidence, proof)], names=["doc_id", "score", "predicted", "evidence"])
 
     schema = f"doc_id {kind}, score double, predicted int, evidence array<struct<example: string, cosine: double, toxic: int>>"
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def harmless(docs: DataFrame, index: Index, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score stays below the threshold."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = _scorer(shared)
+        for batch in batches:
+            for lo, hi, p, _ in scored(batch.column(at)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
