@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.llm import kernels as K
@@ -38,8 +39,8 @@ from linkloom.llm.common import checkpointed, table
 WORDS, NUM, DEN, MOST_MATCHES, VERIFY_COST = 5, 3, 4, 4, 20.0
 #: Counters of the sketch: corpus shingles / SHARE, within these powers of two; its pieces.
 SHARE, LEAST_BITS, MOST_BITS, SEGMENTS = 64, 10, 26, 64
-#: Nodes in a bucket that is expanded at once; test nodes of a large one's first round.
-SMALL, FIRST_HUBS = 64, 32
+#: Nodes in a bucket that is expanded at once; test nodes of a large one's first round, and their growth.
+SMALL, FIRST_HUBS, GROWTH = 64, 64, 8
 
 _U = np.uint64
 
@@ -60,9 +61,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> t
             whole = np.zeros(len(first), np.uint64)
             for j in range(short):
                 whole = K.mix64(whole * _U(0x9FB21C651E98DF25) + h[first + j])
-            owner, grams = np.append(owner, text[first]), np.append(grams, whole + _U(short))
-    order = np.lexsort((grams, owner))
-    owner, grams = owner[order], grams[order]
+            order = np.argsort(np.append(owner, text[first]), kind="stable")
+            owner, grams = np.append(owner, text[first])[order], np.append(grams, whole + _U(short))[order]
+    ends = np.searchsorted(owner, np.arange(n + 1)).tolist()
+    for a, b in zip(ends[:-1], ends[1:], strict=True):  # sorting text by text beats one sort by (text, hash)
+        grams[a:b].sort()
     new = np.append(True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])) if len(grams) else np.empty(0, bool)
     return grams[new], np.bincount(owner[new], minlength=n)
 
@@ -157,10 +160,14 @@ def needed_overlap(a, b):
     return -(-NUM * (a + b) // (NUM + DEN))
 
 
-def prefixes(docs: DataFrame, classes: np.ndarray, words: int = WORDS) -> DataFrame:
-    """(token, node, n, place, matches) of the shingles in each node's chosen prefix; matches: its l."""
+def prefixes(docs: DataFrame, classes: np.ndarray, words: int = WORDS, only: np.ndarray | None = None) -> DataFrame:
+    """(token, node, n, place, matches) of the shingles in each node's chosen prefix; matches: its l.
+
+    ``only``: a filter of tokens; those that it excludes are left out (their places stay).
+    """
     bits = int(np.log2(len(classes)))
     shared = docs.sparkSession.sparkContext.broadcast(classes)  # one byte a counter of the sketch
+    some = docs.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = shared.value, _Seen()
@@ -171,11 +178,10 @@ def prefixes(docs: DataFrame, classes: np.ndarray, words: int = WORDS) -> DataFr
                 grams, n, node = grams[keep], counts[use].astype(np.int64), nodes[use]
                 if not len(grams):
                     continue
-                owner = np.repeat(np.arange(len(n)), n)
                 kind = own[(grams >> _U(64 - bits)).astype(np.int64)]
-                order = np.lexsort((grams, kind, owner))
-                grams, kind = grams[order], kind[order]
                 first = np.cumsum(n) - n
+                order = np.concatenate([a + np.argsort(kind[a:b], kind="stable") for a, b in zip(first.tolist(), (first + n).tolist(), strict=True)])
+                grams, kind = grams[order], kind[order]
                 place = np.arange(len(grams)) - np.repeat(first, n)
                 need = -(-NUM * n // DEN)
                 base = n - need + 1
@@ -190,44 +196,74 @@ def prefixes(docs: DataFrame, classes: np.ndarray, words: int = WORDS) -> DataFr
                     cost.append(np.where(matches <= need, scans + VERIFY_COST * leads, np.inf))
                 matches = np.argmin(np.stack(cost), axis=0) + 1
                 inside = place < np.repeat(base + matches - 1, n)
+                if some.value is not None:
+                    inside[inside] = _passes(some.value, grams[inside])
                 columns = (grams[inside].view(np.int64), np.repeat(node, n)[inside].view(np.int64), np.repeat(n, n)[inside].astype(np.int32), place[inside].astype(np.int32), np.repeat(matches, n)[inside].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "n", "place", "matches"])
 
     return docs.mapInArrow(run, "token long, node long, n int, place int, matches int")
 
 
-def shared_prefixes(rows: DataFrame) -> DataFrame:
-    """The prefix rows whose token two nodes have, with each row's rank among its node's (``own``) and the node's weight."""
-    both = rows.groupBy("token").agg(F.min("node").alias("_a"), F.max("node").alias("_b"), F.count(F.lit(1)).alias("_count")).where("_a <> _b").select("token", "_count")
-    kept = rows.join(both, "token")
-    # a node's rows are at most its prefix
-    nodes = kept.groupBy("node", "n", "matches").agg(F.array_sort(F.collect_set(F.struct("place", "token", "_count"))).alias("_rows"))
-    weight = F.aggregate("_rows", F.lit(0).cast("long"), lambda s, x: s + x["_count"])
-    return nodes.select("node", "n", "matches", weight.alias("weight"), F.posexplode("_rows").alias("own", "_row")).select("node", "n", "matches", "weight", "own", F.col("_row.token").alias("token"), F.col("_row.place").alias("place"))
+def shared_prefixes(docs: DataFrame, classes: np.ndarray, words: int = WORDS) -> DataFrame:
+    """The prefix rows whose token two nodes have.
+
+    With each row's rank among its node's (``own``), and of the node the number of such
+    rows, of shingles after its prefix (``rest``), and its weight.
+    """
+    both = prefixes(docs, classes, words).select("token", "node").groupBy("token").agg(F.min("node").alias("_a"), F.max("node").alias("_b"), F.count(F.lit(1)).alias("_count"))
+    both = checkpointed(both.where("_a <> _b").select("token", "_count"))
+    only = _filter_of(both.select("token"), both.count())
+    kept = prefixes(docs, classes, words, only).join(both, "token")
+    # a node's rows are at most its prefix; copies met by several tasks repeat them
+    by = W.partitionBy("node").orderBy("place")
+    ranked = kept.select("*", (F.dense_rank().over(by) - 1).alias("own"), F.lag("place").over(by).alias("_last"), F.sum("_count").over(W.partitionBy("node")).alias("weight"))
+    end = F.col("n") - F.ceil(F.lit(NUM) * F.col("n") / F.lit(DEN)) + F.col("matches")
+    ranked = ranked.withColumns({"rows": F.max("own").over(W.partitionBy("node")) + 1, "rest": (F.col("n") - F.least(F.col("n"), end)).cast("int")})
+    return ranked.where("_last is null or _last <> place").select("node", "n", "matches", "weight", "own", "rows", "rest", "token", "place")
 
 
 def _fits(x: str, y: str):
-    """Sizes, and the overlap that the shingles before this one and after it leave possible."""
+    """Whether two rows of a token can be the first that linked nodes share.
+
+    Sizes must fit. All common shingles lie at or after this one, so what follows it must
+    reach the needed overlap. And of the common ones, those that the rest of the longer
+    tail can't give must be prefix rows of both nodes, from this row on.
+    """
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    left = F.least(F.col(f"{x}.own"), F.col(f"{y}.own")) + 1 + F.least(nx - F.col(f"{x}.place"), ny - F.col(f"{y}.place")) - 1
-    return (NUM * F.greatest(nx, ny) <= DEN * F.least(nx, ny)) & ((NUM + DEN) * left >= NUM * (nx + ny))
+    left = F.least(nx - F.col(f"{x}.place"), ny - F.col(f"{y}.place"))
+    common = F.ceil(F.lit(NUM) * (nx + ny) / F.lit(NUM + DEN)) - F.greatest(f"{x}.rest", f"{y}.rest")
+    follow = F.least(F.col(f"{x}.rows") - F.col(f"{x}.own"), F.col(f"{y}.rows") - F.col(f"{y}.own"))
+    return (NUM * F.greatest(nx, ny) <= DEN * F.least(nx, ny)) & ((NUM + DEN) * left >= NUM * (nx + ny)) & (follow >= common)
 
 
 def multi_matched(pairs: DataFrame, shared: DataFrame) -> DataFrame:
-    """The pairs (x, y) that share as many prefix shingles as the smaller of their l."""
-    lists = shared.groupBy("node", "n", "matches").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("rows"))
+    """The pairs (x, y) whose common prefix shingles are enough.
+
+    They must be as many as the smaller of the two l, within prefixes of that l. And of the
+    node whose prefix ends first, all shingles up to there that are common are common
+    prefix shingles, so these and what follows its prefix must reach the needed overlap.
+    """
+    lists = shared.groupBy("node").agg(F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("rest").alias("rest"), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("rows"))
     base = F.col("n") - F.ceil(F.lit(NUM) * F.col("n") / F.lit(DEN)) + 1
-    lists = lists.select("node", "n", "matches", base.alias("base"), "rows")
+    lists = lists.select("node", "n", "matches", "rest", base.alias("base"), "rows")
     name = lambda c: [F.col(k).alias(f"{c}_{k}") for k in lists.columns]
     both = pairs.join(lists.select(*name("x")), F.col("x") == F.col("x_node")).join(lists.select(*name("y")), F.col("y") == F.col("y_node"))
-    least = F.least("x_matches", "y_matches")
+    common = F.size(F.array_intersect("x_rows.token", "y_rows.token"))
+    both = both.withColumn("_least", F.least("x_matches", "y_matches"))
+    both = both.where((NUM + DEN) * (common + F.greatest("x_rest", "y_rest")) >= NUM * (F.col("x_n") + F.col("y_n")))
     inside = lambda c: F.transform(F.filter(f"{c}_rows", lambda r: r["place"] < F.col(f"{c}_base") + F.col("_least") - 1), lambda r: r["token"])
-    both = both.withColumn("_least", least)
     return both.where(F.size(F.array_intersect(inside("x"), inside("y"))) >= F.col("_least")).select("x", "y")
 
 
+def _passes(flags: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which names a filter of ``_filter_of`` lets through; ``flags`` is packed."""
+    bits = int(np.log2(len(flags))) + 3
+    at = (K.mix64(names) >> _U(64 - bits)).astype(np.int64)
+    return flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
+
+
 def _filter_of(nodes: DataFrame, count: int) -> np.ndarray:
-    """A bit for every needed node's hash, in an array of bounded size."""
+    """A bit for the hash of every name in the first column, in a packed array of bounded size."""
     bits = min(27, max(12, int(np.ceil(np.log2(16 * max(1, count))))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,15 +277,13 @@ def _filter_of(nodes: DataFrame, count: int) -> np.ndarray:
 
 def sets_of(docs: DataFrame, nodes: DataFrame, count: int, words: int = WORDS) -> DataFrame:
     """(node, shingles) of the needed nodes, read again from the texts."""
-    flags = _filter_of(nodes, count)
-    bits = int(np.log2(len(flags))) + 3
-    shared = docs.sparkSession.sparkContext.broadcast(flags)
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(nodes, count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = np.unpackbits(shared.value).astype(bool), _Seen()
+        own, seen = shared.value, _Seen()
         for batch in batches:
             for _, _, grams, counts, names in _each(batch.column(1), words):
-                use = own[(K.mix64(names) >> _U(64 - bits)).astype(np.int64)] & (names != 0)
+                use = _passes(own, names) & (names != 0)
                 use[use] = seen.new(names[use])
                 yield pa.RecordBatch.from_arrays([pa.array(names[use].view(np.int64)), K.list_array(grams[np.repeat(use, counts)].view(np.int64), counts[use], pa.int64())], names=["node", "shingles"])
 
@@ -290,9 +324,9 @@ def components(edges: DataFrame) -> DataFrame:
 def node_components(docs: DataFrame, shingles: int, words: int = WORDS) -> DataFrame:
     """(node, comp) of the nodes that are linked with others; ``shingles``: of the corpus, with repeats."""
     bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, shingles / SHARE))))))
-    shared = checkpointed(shared_prefixes(prefixes(docs, rarity(sketch(docs, bits, words)), words)))
+    shared = checkpointed(shared_prefixes(docs, rarity(sketch(docs, bits, words)), words))
     # Heaviest node of each bucket against the others
-    hubs = shared.groupBy("token").agg(F.max(F.struct("weight", "node", "n", "place", "own")).alias("_hub")).select("token", "_hub.node", "_hub.n", "_hub.place", "_hub.own")
+    hubs = shared.groupBy("token").agg(F.max(F.struct("weight", "node", "n", "place", "own", "rows", "rest")).alias("_hub")).select("token", "_hub.*")
     star = shared.alias("a").join(hubs.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") != F.col("b.node")) & _fits("a", "b"))
     name = lambda df: df.select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
     tested = multi_matched(name(star), shared)
@@ -301,9 +335,13 @@ def node_components(docs: DataFrame, shingles: int, words: int = WORDS) -> DataF
     rows, n_hubs = shared, FIRST_HUBS
     while True:
         open_ = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        sizes = open_.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count(F.lit(1)).alias("size")).where("_a <> _b").select("token", "size")
+        sizes = open_.groupBy("token").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count(F.lit(1)).alias("size"), F.expr("percentile_approx(weight, array(0.5, 0.75, 0.9, 0.95, 0.99, 0.999), 1000)").alias("_heavy"))
+        # any choice of test nodes is exact; heavy ones, with few shingles of their own, link most
+        share = 1 - F.lit(float(n_hubs)) / F.col("size")
+        heavy = F.when(share < 0.5, F.lit(-1)).otherwise(F.get("_heavy", F.when(share < 0.75, 0).when(share < 0.9, 1).when(share < 0.95, 2).when(share < 0.99, 3).when(share < 0.999, 4).otherwise(5)))
+        sizes = sizes.where("_a <> _b").select("token", "size", heavy.alias("heavy"))
         rows = checkpointed(open_.join(sizes, "token"))
-        test = (F.col("size") <= SMALL) | (F.pmod(F.xxhash64("node", F.lit(n_hubs)), F.col("size")) < n_hubs)
+        test = (F.col("size") <= SMALL) | (F.col("weight") >= F.col("heavy"))
         pair = (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & _fits("a", "b")
         pair = pair & ((F.col("a.size") > SMALL) | (F.col("a.node") < F.col("b.node")))
         found = checkpointed(multi_matched(name(rows.where(test).alias("a").join(rows.alias("b"), pair)), shared))
@@ -312,8 +350,8 @@ def node_components(docs: DataFrame, shingles: int, words: int = WORDS) -> DataF
             if not new.isEmpty():
                 links = links.union(new)
                 comps = components(links)
-        rows = rows.where(~test).drop("comp", "size")
-        n_hubs *= 2
+        rows = rows.where(~test).drop("comp", "size", "heavy")
+        n_hubs *= GROWTH
         if rows.isEmpty():
             return comps
 

@@ -30,8 +30,10 @@ from linkloom.llm.quality import calibrate
 
 #: Labelled texts a class at most; neighbours; examples in a block; bytes of word beginnings;
 #: least chi-square of a term; least texts with a term; terms at most; threshold.
-LIMIT, NEAREST, BLOCK, PREFIXES, CHI2, MIN_TEXTS, MAX_TERMS, THRESHOLD = 2000, 15, 64, (4, 5, 6), 30.0, 5, 4096, 0.3
+LIMIT, NEAREST, BLOCK, PREFIXES, CHI2, MIN_TEXTS, MAX_TERMS, THRESHOLD = 1500, 15, 64, (4, 5, 6), 30.0, 5, 4096, 0.3
 
+#: Blocks that are opened before any bound is tested.
+FIRST_BLOCKS = 3
 #: A mark for terms that a text holds so many times, and for those held twice or more at so many a thousand words.
 TIMES, RATES = (2, 3, 5, 8), (2, 4, 8, 16)
 
@@ -89,7 +91,7 @@ class Index:
     keys: np.ndarray  # term hashes
     plain: np.ndarray  # hashes of the terms without marks that any of them needs
     idf: np.ndarray
-    begin: np.ndarray  # of each term's postings
+    begin: np.ndarray  # of each term's postings in each block, and their end
     example: np.ndarray
     weight: np.ndarray
     block_max: np.ndarray  # terms x blocks
@@ -103,31 +105,40 @@ class Index:
         v = (1 + np.log(counts)) * self.idf[at]
         return v / np.linalg.norm(v) if len(v) else v
 
+    def _totals(self, at: np.ndarray, v: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of some blocks with a positive cosine, and it: sums over the terms' postings in those blocks."""
+        lo, hi = self.begin[at][:, chosen].ravel(), self.begin[at][:, chosen + 1].ravel()
+        size = hi - lo
+        before = np.cumsum(size) - size
+        rows = np.repeat(lo - before, size) + np.arange(size.sum())
+        total = np.bincount(self.example[rows], np.repeat(np.repeat(v, len(chosen)), size) * self.weight[rows], len(self.toxic))
+        got = np.flatnonzero(total > 0)
+        return got, total[got]
+
     def nearest(self, at: np.ndarray, v: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
-        """(examples, cosines, blocks opened) of the exact k nearest with a positive cosine."""
+        """(examples, cosines, blocks opened) of the exact k nearest with a positive cosine.
+
+        The blocks of highest bound are opened first; the k-th best cosine in them then
+        says which others can matter, and only those are opened.
+        """
         bound = v @ self.block_max[at]
         order = np.argsort(-bound, kind="stable")
-        best, score, least, opened = np.empty(0, np.int64), np.empty(0), 0.0, 0
-        spans = [(self.begin[t], self.begin[t + 1]) for t in at]
-        for block in order.tolist():
-            if bound[block] <= 0 or (len(best) >= k and bound[block] < least - 1e-9):
+        order = order[bound[order] > 0]
+        best, score, opened = np.empty(0, np.int64), np.empty(0), 0
+        while len(order):
+            least = -np.inf if len(best) < k else score[-1] - 1e-9
+            order = order[bound[order] >= least]
+            batch, order = order[: FIRST_BLOCKS if not opened else len(order)], order[FIRST_BLOCKS if not opened else len(order) :]
+            if not len(batch):
                 break
-            opened += 1
-            total = np.zeros(BLOCK)
-            for (lo, hi), w in zip(spans, v.tolist(), strict=True):
-                a, b = lo + np.searchsorted(self.example[lo:hi], (block * BLOCK, (block + 1) * BLOCK))
-                total[self.example[a:b] - block * BLOCK] += w * self.weight[a:b]
-            got = np.flatnonzero(total > 0)
-            best, score = np.append(best, got + block * BLOCK), np.append(score, total[got])
+            opened += len(batch)
+            got, total = self._totals(at, v, batch)
             if without >= 0:
-                best, score = best[best != without], score[best != without]
-            if len(best) > k:
-                top = np.lexsort((best, -np.round(score, 12)))[:k]
-                best, score = best[top], score[top]
-            if len(best) >= k:
-                least = score.min()
-        top = np.lexsort((best, -np.round(score, 12)))
-        return best[top], score[top], opened
+                got, total = got[got != without], total[got != without]
+            best, score = np.append(best, got), np.append(score, total)
+            top = np.lexsort((best, -np.round(score, 12)))[:k]
+            best, score = best[top], score[top]
+        return best, score, opened
 
     def vote(self, best: np.ndarray, score: np.ndarray) -> float:
         """The share of toxic votes, weighted by squared cosine, with one vote of none."""
@@ -162,7 +173,7 @@ def build(sets: list[np.ndarray], counts: list[np.ndarray], plain: list[np.ndarr
     sizes = np.array([(y == 0).sum(), (y == 1).sum()], float)
     n = len(y)
     if not sizes.all():
-        return Index(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0), np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0), np.zeros((0, 1)), y, names, alone=0.0)
+        return Index(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0), np.zeros((0, 2), np.int64), np.empty(0, np.int64), np.empty(0), np.zeros((0, 1)), y, names, alone=0.0)
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
     keys, first, inverse = np.unique(flat, return_index=True, return_inverse=True)
@@ -187,13 +198,21 @@ def build(sets: list[np.ndarray], counts: list[np.ndarray], plain: list[np.ndarr
         at = place[inverse[cursor : cursor + len(s)]]
         cursor += len(s)
         vectors.append((at[at >= 0], index.vector(at[at >= 0], c[at >= 0])))
+    # examples with the same weightiest terms are neighbours, which keeps block maxima apart
+    heads = np.array([[*a[np.argsort(-v, kind="stable")[:3]], -1, -1, -1][:3] for a, v in vectors])
+    order = np.lexsort((heads[:, 2], heads[:, 1], heads[:, 0]))
+    vectors, y, names = [vectors[i] for i in order], y[order], [names[i] for i in order]
+    index.toxic, index.names = y, names
     term = np.concatenate([a for a, _ in vectors])
     example = np.repeat(np.arange(n), [len(a) for a, _ in vectors])
     weight = np.concatenate([v for _, v in vectors])
     order = np.lexsort((example, term))
     index.example, index.weight = example[order], weight[order]
-    index.begin = np.searchsorted(term[order], np.arange(len(keys) + 1))
-    index.block_max = np.zeros((len(keys), -(-n // BLOCK)))
+    blocks = -(-n // BLOCK)
+    place = term[order] * blocks + index.example // BLOCK
+    starts = np.searchsorted(place, np.arange(len(keys) * blocks + 1))
+    index.begin = np.concatenate([starts[:-1].reshape(len(keys), blocks), starts[blocks::blocks][:, None]], axis=1)
+    index.block_max = np.zeros((len(keys), blocks))
     np.maximum.at(index.block_max, (term, example // BLOCK), weight)
     votes = np.array([index.vote(*index.nearest(a, v, without=i)[:2]) for i, (a, v) in enumerate(vectors)])
     has = np.array([len(a) > 0 for a, _ in vectors])
