@@ -253,8 +253,8 @@ def _scorer(shared):
             text, at, n = text[order], at[order], n[order]
             p = np.full(hi - lo, own.alone)
             evidence: list = [[] for _ in range(hi - lo)]
-            cuts = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else []
-            for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
+            cuts = [*np.flatnonzero(text[1:] != text[:-1]) + 1, len(text)] if len(text) else []
+            for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
                 best, cosine, _ = own.nearest(at[a:b], own.vector(at[a:b], n[a:b]))
                 p[text[a]] = own.probability(np.array([own.vote(best, cosine)]))[0]
                 evidence[text[a]] = [{"example": str(own.names[i]), "cosine": float(c), "toxic": int(own.toxic[i])} for i, c in zip(best[:3], cosine[:3], strict=True)]

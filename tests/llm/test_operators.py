@@ -213,6 +213,12 @@ def test_toxicity_on_real_labels(spark, real, sf):
     assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.85
 
 
+def test_texts_without_terms(spark, real, sf):
+    index = toxicity.train(real, table(spark, sf, "labels"))
+    rows = spark.createDataFrame([(1, "zzz qqq"), (2, ""), (3, None)], "doc_id long, text string")
+    assert {r.score for r in toxicity.score(rows, index).collect()} == {index.alone}
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(5)
     n = 400
