@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import decontaminate, html, jaccard, licenses, media, packing, quality, sharding, toxicity, urls
+from linkloom.llm import decontaminate, html, jaccard, licenses, media, oracles, packing, quality, sharding, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -32,4 +32,4 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_adaptive_prefix_join": oracles.OP5}
