@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import kernels as K
-from linkloom.llm.common import fold, labelled, table
+from linkloom.llm.common import checkpointed, fold, labelled, table
 from linkloom.llm.quality import calibrate
 
 #: Labelled texts a class at most; neighbours; examples in a block; bytes of word beginnings;
@@ -70,6 +70,13 @@ def marked(text: np.ndarray, h: np.ndarray, n: np.ndarray, words: np.ndarray) ->
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def least_hashes(plain: np.ndarray, n: int = 24) -> list[int]:
+    """Min-hashes of a text's plain terms; none for a text without."""
+    if not len(plain):
+        return []
+    return [int(K.mix64(plain ^ salt).min().view(np.int64)) for salt in np.arange(1, n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)]
+
+
 def _words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(K.find_words(data, offsets)[2], minlength=len(offsets) - 1)
 
@@ -81,7 +88,9 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(text, kind="stable")
             counts = np.bincount(text, minlength=hi - lo)
             lists = [K.list_array(x[order], counts, k) for x, k in ((h.view(np.int64), pa.int64()), (n, pa.int32()), (plain.view(np.int64), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *lists], names=["_id", "y", "terms", "counts", "plain"])
+            ends = np.append(0, np.cumsum(counts))
+            low = pa.array([least_hashes(plain[order][a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *lists, low], names=["_id", "y", "terms", "counts", "plain", "low"])
 
 
 @dataclass
@@ -149,55 +158,47 @@ class Index:
         return 1 / (1 + np.exp(-np.clip(self.slope * votes + self.shift, -500, 500)))
 
 
-def _distinct_texts(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+def _distinct_texts(lows: list, labels: np.ndarray) -> list[int]:
     """Numbers of the examples that stay when near copies of a class count once (min-hash bands)."""
     seen: set = set()
     keep = []
-    salts = np.arange(1, 25, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
-    for i, s in enumerate(sets):
-        if len(s):
-            low = [int(K.mix64(s ^ salt).min()) for salt in salts]
-            bands = [(int(labels[i]), b, *low[b : b + 4]) for b in range(0, 24, 4)]
-            if any(b in seen for b in bands):
-                continue
+    for i, low in enumerate(lows):
+        bands = [(int(labels[i]), b, *low[b : b + 4]) for b in range(0, len(low), 4)]
+        if not any(b in seen for b in bands):
             seen.update(bands)
-        keep.append(i)
-    return np.array(keep, np.int64)
+            keep.append(i)
+    return keep
 
 
-def build(sets: list[np.ndarray], counts: list[np.ndarray], plain: list[np.ndarray], labels: np.ndarray, names: list, shares: tuple[float, float]) -> Index:
-    """``sets``, ``counts`` and ``plain``: the examples' distinct term hashes, their numbers and the same without marks."""
-    stay = _distinct_texts(plain, labels)
-    sets, counts, plain, names = [sets[i] for i in stay], [counts[i] for i in stay], [plain[i] for i in stay], [names[i] for i in stay]
-    y = np.asarray(labels)[stay].astype(np.int64)
-    sizes = np.array([(y == 0).sum(), (y == 1).sum()], float)
-    n = len(y)
-    if not sizes.all():
-        return Index(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0), np.zeros((0, 2), np.int64), np.empty(0, np.int64), np.empty(0), np.zeros((0, 1)), y, names, alone=0.0)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    keys, first, inverse = np.unique(flat, return_index=True, return_inverse=True)
-    bases = np.concatenate(plain)[first]
-    df1 = np.bincount(inverse, y[owner], len(keys))
-    df = np.bincount(inverse, minlength=len(keys)).astype(float)
+def choose(df: np.ndarray, df1: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the terms kept, given the texts of both classes and of class 1 with each, and the classes' sizes."""
+    n = sizes.sum()
     df0 = df - df1
     gap = df1 * (sizes[0] - df0) - df0 * (sizes[1] - df1)
     chi2 = n * gap**2 / np.maximum(1e-9, df * (n - df) * sizes[0] * sizes[1])
-    least = min(MIN_TEXTS, max(1, n // 20))
     ratio = np.log((df1 + 0.5) / (sizes[1] + 1)) - np.log((df0 + 0.5) / (sizes[0] + 1))
     # chance alone gives small samples large ratios; a term must pass both
-    chosen = np.flatnonzero((df >= least) & (chi2 >= min(CHI2, n / 20)) & (np.abs(ratio) > np.log(6)))
-    chosen = np.sort(chosen[np.argsort(-chi2[chosen], kind="stable")[:MAX_TERMS]])
-    keys, bases = keys[chosen], np.unique(bases[chosen])
-    idf = np.log((1 + n) / (1 + df[chosen])) + 1
-    place = np.full(len(df), -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    vectors, cursor = [], 0
-    index = Index(keys, bases, idf, np.empty(0), np.empty(0), np.empty(0), np.empty(0), y, names)
+    chosen = np.flatnonzero((df >= least_texts(n)) & (chi2 >= min(CHI2, n / 20)) & (np.abs(ratio) > np.log(6)))
+    return np.sort(chosen[np.argsort(-chi2[chosen], kind="stable")[:MAX_TERMS]])
+
+
+def least_texts(n: float) -> int:
+    return min(MIN_TEXTS, max(1, int(n) // 20))
+
+
+def assemble(keys: np.ndarray, plain: np.ndarray, df: np.ndarray, sets: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, names: list, shares: tuple[float, float]) -> Index:
+    """The index of the chosen terms (sorted ``keys``); ``sets`` may hold other terms too."""
+    n = len(y)
+    sizes = np.array([(y == 0).sum(), (y == 1).sum()], float)
+    if not sizes.all():
+        return Index(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0), np.zeros((0, 2), np.int64), np.empty(0, np.int64), np.empty(0), np.zeros((0, 1)), y, names)
+    index = Index(keys, np.unique(plain), np.log((1 + n) / (1 + df)) + 1, np.empty(0), np.empty(0), np.empty(0), np.empty(0), y, names)
+    find, vectors = K.HashIndex(keys), []
     for s, c in zip(sets, counts, strict=True):
-        at = place[inverse[cursor : cursor + len(s)]]
-        cursor += len(s)
-        vectors.append((at[at >= 0], index.vector(at[at >= 0], c[at >= 0])))
+        at = find.find(s)
+        order = np.argsort(at, kind="stable")
+        order = order[at[order] >= 0]
+        vectors.append((at[order], index.vector(at[order], c[order])))
     # examples with the same weightiest terms are neighbours, which keeps block maxima apart
     heads = np.array([[*a[np.argsort(-v, kind="stable")[:3]], -1, -1, -1][:3] for a, v in vectors])
     order = np.lexsort((heads[:, 2], heads[:, 1], heads[:, 0]))
@@ -225,16 +226,56 @@ def build(sets: list[np.ndarray], counts: list[np.ndarray], plain: list[np.ndarr
     return index
 
 
+def build(sets: list[np.ndarray], counts: list[np.ndarray], plain: list[np.ndarray], labels: np.ndarray, names: list, shares: tuple[float, float]) -> Index:
+    """``sets``, ``counts`` and ``plain``: the examples' distinct term hashes, their numbers and the same without marks."""
+    stay = _distinct_texts([least_hashes(x) for x in plain], labels)
+    sets, counts, plain, names = [sets[i] for i in stay], [counts[i] for i in stay], [plain[i] for i in stay], [names[i] for i in stay]
+    y = np.asarray(labels)[stay].astype(np.int64)
+    keys, first, inverse = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_index=True, return_inverse=True)
+    owner = np.repeat(np.arange(len(y)), [len(s) for s in sets])
+    df, df1 = np.bincount(inverse, minlength=len(keys)).astype(float), np.bincount(inverse, y[owner], len(keys))
+    chosen = choose(df, df1, np.array([(y == 0).sum(), (y == 1).sum()], float)) if len(set(y.tolist())) == 2 else np.empty(0, np.int64)
+    return assemble(keys[chosen], np.concatenate([np.empty(0, np.uint64), *plain])[first[chosen]], df[chosen], sets, counts, y, names, shares)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = LIMIT, id_column: str = "doc_id", text_column: str = "text") -> Index:
-    """An index of at most ``limit`` labelled texts a class, none of the held-out fold."""
+    """An index of at most ``limit`` labelled texts a class, none of the held-out fold.
+
+    Document frequencies are counted in Spark; the driver sees the terms that enough
+    examples have, and of the examples only the chosen terms.
+    """
     picked = labelled(docs, labels, label, limit, id_column, text_column).select("_id", "text", "y")
     kind = picked.schema["_id"].dataType.simpleString()
-    rows = picked.mapInArrow(_term_counts, f"_id {kind}, y int, terms array<long>, counts array<int>, plain array<long>").toArrow().sort_by("_id")
-    sets = [np.asarray(x.values).view(np.uint64) for x in rows["terms"]]
-    counts = [np.asarray(x.values) for x in rows["counts"]]
+    rows = checkpointed(picked.mapInArrow(_term_counts, f"_id {kind}, y int, terms array<long>, counts array<int>, plain array<long>, low array<long>"))
+    seen = rows.select("_id", "y", "low").orderBy("_id", "low").collect()  # 24 numbers a labelled text
+    stay = [seen[i] for i in _distinct_texts([r["low"] for r in seen], [r["y"] for r in seen])]
+    names, y = [r["_id"] for r in stay], np.array([r["y"] for r in stay], np.int64)
     share = labels.where(F.col(label).isin(0, 1) & (fold(id_column) != 2)).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    plain = [np.asarray(x.values).view(np.uint64) for x in rows["plain"]]
-    return build(sets, counts, plain, rows["y"].to_numpy(), rows["_id"].to_pylist(), (1 - (share or 0.0), share or 0.0))
+    shares = (1 - (share or 0.0), share or 0.0)
+    if len(set(y.tolist())) < 2:
+        return assemble(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0), [], [], y, names, shares)
+    kept = docs.sparkSession.createDataFrame([(x,) for x in sorted(set(names))], f"_id {kind}")
+    rows = rows.join(F.broadcast(kept), "_id", "left_semi").dropDuplicates(["_id"])  # at most 2 * limit rows
+    each = rows.select("y", F.explode(F.arrays_zip("terms", "plain")).alias("t")).groupBy("t.terms").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("df1"), F.first("t.plain").alias("plain"))
+    found = each.where(F.col("df") >= least_texts(len(y))).toArrow()
+    term = found["terms"].to_numpy().view(np.uint64)
+    order = np.argsort(term)
+    df, df1, plain = (found[c].to_numpy()[order] for c in ("df", "df1", "plain"))
+    chosen = choose(df.astype(float), df1.astype(float), np.array([(y == 0).sum(), (y == 1).sum()], float))
+    keys = term[order][chosen]
+
+    def restrict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = K.HashIndex(keys)
+        for batch in batches:
+            size = np.diff(batch.column(2).offsets.to_numpy())
+            flat, n = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
+            ok = find.find(flat.view(np.uint64)) >= 0
+            own = np.bincount(np.repeat(np.arange(len(size)), size)[ok], minlength=len(size))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), K.list_array(flat[ok], own, pa.int64()), K.list_array(n[ok], own, pa.int32())], names=["_id", "y", "terms", "counts"])
+
+    few = rows.select("_id", "y", "terms", "counts").mapInArrow(restrict, f"_id {kind}, y int, terms array<long>, counts array<int>").toArrow().sort_by("_id")
+    sets = [np.asarray(x.values).view(np.uint64) for x in few["terms"]]
+    return assemble(keys, plain[chosen].view(np.uint64), df[chosen].astype(float), sets, [np.asarray(x.values) for x in few["counts"]], few["y"].to_numpy().astype(np.int64), few["_id"].to_pylist(), shares)
 
 
 def _scorer(shared):
