@@ -177,9 +177,16 @@ def postal_code(address: Column, country: Column) -> Column:
 
 
 def grams(c: Column, n: int) -> Column:
-    """Distinct runs of n characters; a shorter text is one gram, the empty text none."""
-    size = F.char_length(c)
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
+    """Distinct runs of n characters; a shorter text is one gram, the empty text none.
+
+    Characters are split once and zipped with themselves, which is linear in the text;
+    a substring at every place would walk the text from its start each time.
+    """
+    size, chars = F.char_length(c), F.split(c, "")
+    runs = chars
+    for j in range(1, n):
+        runs = F.zip_with(runs, F.slice(chars, j + 1, F.greatest(F.size(chars) - j, F.lit(0))), lambda a, b: F.concat(a, b))
+    many = F.array_distinct(F.filter(runs, lambda g: g.isNotNull()))
     return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(c)).otherwise(many)
 
 

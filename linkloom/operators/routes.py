@@ -96,7 +96,8 @@ def ngram_top(n: int, k: int):
 
     def run(s1: DataFrame, t: DataFrame) -> DataFrame:
         grams = T.padded_grams(F.col("name_no_accents"), n)
-        sized = lambda df, i: df.select(F.col(CC).alias("cc"), F.col("entity_id").alias(i), F.size(grams).alias(f"{i}_size"), F.explode(grams).alias("key"))
+        gram_sets = lambda df, i: df.select(F.col(CC).alias("cc"), F.col("entity_id").alias(i), grams.alias("_grams"))
+        sized = lambda df, i: gram_sets(df, i).select("cc", i, F.size("_grams").alias(f"{i}_size"), F.explode("_grams").alias("key"))
         probes, targets = sized(s1, "s1_id"), sized(t, "cand_id")
         total = t.agg(F.count(F.lit(1)).alias("_total"))
         limit = F.least(F.lit(1000), F.greatest(F.lit(50), F.floor(F.col("_total") * 0.01)))

@@ -22,8 +22,8 @@ VIEWS = {
         "documents",
         {
             "entity_id": "concat(CASE doc_id % 3 WHEN 0 THEN 'S1-' WHEN 1 THEN 'S2-' ELSE 'S3-' END, CAST(doc_id AS STRING))",
-            "business_name": "substring(split_part(text, chr(10), 1), 1, 60)",
-            "business_address": "substring(split_part(text, chr(10), 2), 1, 80)",
+            "business_name": "split_part(text, chr(10), 1)",
+            "business_address": "substring(text, length(split_part(text, chr(10), 1)) + 2)",
             "country": "lang",
         },
     ),
