@@ -13,8 +13,9 @@ has blocks, so its size is never a limit and no text is shuffled.
 
 Defined results: null and empty texts match nothing; items shorter than a window match
 by a window of their own length, and items under ``LEAST_WORDS`` words only texts of
-exactly their words; windows with too few plain words aren't used unless they are all an
-item has; repeated rows are reported each; ids may be null.
+exactly their words; every window also matches its own words, so copies are found whatever
+the words around them make of a capital; the first word of an item may be a name in a text;
+template windows with too few plain words aren't used unless they are all an item has; repeated rows are reported each; ids may be null.
 """
 
 from __future__ import annotations
@@ -120,7 +121,7 @@ def build_blocks(items: Iterable[tuple], most: int = BLOCK_WINDOWS) -> Iterator[
 
     def block() -> Block:
         by_length: dict[int, list] = defaultdict(list)
-        for i, (_, _, template, slot) in enumerate(held):
+        for i, (_, words, template, slot) in enumerate(held):
             n = len(template)
             k = min(WINDOW, n)
             if not k:
@@ -128,9 +129,13 @@ def build_blocks(items: Iterable[tuple], most: int = BLOCK_WINDOWS) -> Iterator[
             h = K.rolling(template, k)
             plain = np.convolve(~slot, np.ones(k, int), "valid")
             use = plain >= min(PLAIN, k)
-            if not use.any():
-                use[:] = True
-            by_length[k].append((h[use], np.full(use.sum(), i), np.flatnonzero(use)))
+            forms = [(h[use], np.flatnonzero(use))] if use.any() else [(h, np.arange(len(h)))]
+            verbatim = np.flatnonzero(plain < k)  # the other windows are their own plain form
+            forms.append((K.rolling(words, k)[verbatim], verbatim))
+            if n >= LEAST_WORDS and not slot[0] and plain[0] > min(PLAIN, k):
+                forms.append((K.rolling(np.append(_NAME, template[1:k]), k), np.zeros(1, int)))
+            h, place = (np.concatenate(x) for x in zip(*forms, strict=True))
+            by_length[k].append((h, np.full(len(h), i), place))
         windows = {}
         for k, parts in by_length.items():
             h, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -142,7 +147,7 @@ def build_blocks(items: Iterable[tuple], most: int = BLOCK_WINDOWS) -> Iterator[
 
     for name, text in items:
         w = canonical(*K.column_bytes(pa.array([text or ""])))
-        n = max(1, len(w.plain) - WINDOW + 1)
+        n = 2 * max(1, len(w.plain) - WINDOW + 1) + 1  # template and plain forms, and the first word as a name
         if held and size + n > most:
             yield block()
             held, size = [], 0
@@ -164,14 +169,17 @@ def match(w: Words, n_texts: int, block: Block, indexes: dict[int, K.HashIndex])
     first = np.cumsum(sizes) - sizes
     out = []
     for k, (_, pair, item, place) in block.windows.items():
-        h = K.rolling(w.template, k)
+        h, own = K.rolling(w.template, k), K.rolling(w.plain, k)
         if not len(h):
             continue
-        at = indexes[k].find(h)
-        pos = np.flatnonzero((at >= 0) & (w.text[: len(h)] == w.text[k - 1 :]))
+        inside = w.text[: len(h)] == w.text[k - 1 :]
+        other = np.flatnonzero(inside & (h != own))
+        pos = np.append(np.flatnonzero(inside), other)
+        at = indexes[k].find(np.append(h[inside], own[other]))
+        hit = at >= 0
+        pos, at = pos[hit], at[hit]
         if not len(pos):
             continue
-        at = at[pos]
         many = pair[at + 1] - pair[at]
         row = np.repeat(pair[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         pos = np.repeat(pos, many)
@@ -185,7 +193,8 @@ def match(w: Words, n_texts: int, block: Block, indexes: dict[int, K.HashIndex])
             i, t = int(item_[a]), int(text[a])
             words, n = block.words[i], len(block.words[i])
             covered, said = np.zeros(n, bool), np.zeros(n, np.int64)
-            for p, q in zip(local[a:b].tolist(), place_[a:b].tolist(), strict=True):
+            verbatim = lambda x: bool((w.plain[first[t] + x[0] : first[t] + x[0] + k] == words[x[1] : x[1] + k]).all())
+            for p, q in sorted(zip(local[a:b].tolist(), place_[a:b].tolist(), strict=True), key=verbatim):  # verbatim hits have the last word
                 covered[q : q + k] = True
                 said[q : q + k] = np.arange(p, p + k)
             if covered.sum() < min(n, LEAST_MATCH) or (n < LEAST_WORDS and sizes[t] != n):

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.llm import decontaminate, html, jaccard, licenses, media, packing, quality, sharding, toxicity, urls
+from linkloom.llm import kernels as K
 
 LONG = " ".join(f"word{i % 977} und{i % 31}" for i in range(30_000))
 ROWS = [(1, "alpha beta gamma delta epsilon zeta"), (1, "alpha beta gamma delta epsilon zeta"), (2, None), (3, ""), (4, "Released under the MIT License. mit license"), (None, "alpha beta gamma"), (5, LONG), (6, LONG + " x"), (7, "   \n\t "), (8, "é中 ñ"), (9, "alpha beta gamma delta epsilon zeta")]
@@ -103,6 +104,19 @@ def test_templates(spark, docs, none):
     assert decontaminate.contaminated(docs, items).count() == 0
 
 
+def passages(texts, items):
+    """(text number, item number, covered words) of every passage, without Spark."""
+    (block,) = decontaminate.build_blocks(list(enumerate(items)))
+    indexes = {k: K.HashIndex(x[0]) for k, x in block.windows.items()}
+    return [(t, i, c) for t, i, _, _, c, *_ in decontaminate.match(decontaminate.canonical(*K.column_bytes(pa.array(texts))), len(texts), block, indexes)]
+
+
+def test_first_word_after_a_lead():
+    items = ["What is the boiling point of pure water at sea level?", "How many apples fall down here?", "Zelda picks 12 pears and eats 3 of them", "Paris"]
+    texts = ["trivia: What is the boiling point of pure water at sea level?", "quiz How many apples fall down here", "what is the boiling point of pure water at sea level", "answer this: Marta picks 14 pears and eats 5 of them", "james", "trivia: What is the boiling point of pure iron at sea level?"]
+    assert passages(texts, items) == [(0, 0, 11), (2, 0, 11), (3, 2, 9), (1, 1, 6)]
+
+
 def test_planted_passages(spark, sf, real):
     items = table(spark, sf, "benchmark")
     words = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
