@@ -110,6 +110,7 @@ class Block:
 
     names: list
     words: list[np.ndarray]  # each item's plain hashes
+    templates: list[np.ndarray]
     slots: list[np.ndarray]
     windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # distinct hashes, first pair, item, place
 
@@ -143,7 +144,7 @@ def build_blocks(items: Iterable[tuple], most: int = BLOCK_WINDOWS) -> Iterator[
             h, item, place = h[order], item[order], place[order]
             keys, first = np.unique(h, return_index=True)
             windows[k] = (keys, np.append(first, len(h)), item, place)
-        return Block([x[0] for x in held], [x[1] for x in held], [x[3] for x in held], windows)
+        return Block(*([x[j] for x in held] for j in range(4)), windows)
 
     for name, text in items:
         w = canonical(*K.column_bytes(pa.array([text or ""])))
@@ -163,6 +164,18 @@ def consistent(item: np.ndarray, passage: np.ndarray) -> bool:
     return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def _extend(covered: np.ndarray, said: np.ndarray, d: int, k: int, words: np.ndarray, item: np.ndarray, plain: np.ndarray, template: np.ndarray) -> None:
+    """Cover an item's further windows on a diagonal that a window was found on: those with few plain words, which aren't in the table."""
+    lo, hi = max(0, -d), min(len(words), len(plain) - d)
+    if hi - lo < k:
+        return
+    equal = (template[lo + d : hi + d] == item[lo:hi]) | (plain[lo + d : hi + d] == words[lo:hi])
+    whole = np.convolve(equal, np.ones(k, int), "valid") == k
+    at = lo + np.flatnonzero(np.convolve(whole, np.ones(k, int)) > 0)
+    at = at[~covered[at]]
+    covered[at], said[at] = True, at + d
+
+
 def match(w: Words, n_texts: int, block: Block, indexes: dict[int, K.HashIndex]) -> list[tuple]:
     """(text number, item number, first word, end word, covered words, slots, same values) of every passage."""
     sizes = np.bincount(w.text, minlength=n_texts)
@@ -197,6 +210,9 @@ def match(w: Words, n_texts: int, block: Block, indexes: dict[int, K.HashIndex])
             for p, q in sorted(zip(local[a:b].tolist(), place_[a:b].tolist(), strict=True), key=verbatim):  # verbatim hits have the last word
                 covered[q : q + k] = True
                 said[q : q + k] = np.arange(p, p + k)
+            if covered.sum() < min(n, LEAST_MATCH):
+                for d in np.unique(local[a:b] - place_[a:b]).tolist():
+                    _extend(covered, said, d, k, words, block.templates[i], w.plain[first[t] : first[t] + sizes[t]], w.template[first[t] : first[t] + sizes[t]])
             if covered.sum() < min(n, LEAST_MATCH) or (n < LEAST_WORDS and sizes[t] != n):
                 continue
             slot = np.flatnonzero(covered & block.slots[i])

@@ -117,6 +117,12 @@ def test_first_word_after_a_lead():
     assert passages(texts, items) == [(0, 0, 11), (2, 0, 11), (3, 2, 9), (1, 1, 6)]
 
 
+def test_items_rich_in_numbers():
+    items = ["Find the sum of 3 5 7 9 11 13 15 17 19 21 23 25"]
+    texts = ["x. " + items[0], "x. Find the sum of 4 6 8 10 12 14 16 18 20 22 24 26 now", "x. Find the sum of 4 6 8 and no more", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"]
+    assert passages(texts, items) == [(0, 0, 16), (1, 0, 16)]
+
+
 def test_planted_passages(spark, sf, real):
     items = table(spark, sf, "benchmark")
     words = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
