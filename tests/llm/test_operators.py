@@ -123,6 +123,12 @@ def test_items_rich_in_numbers():
     assert passages(texts, items) == [(0, 0, 16), (1, 0, 16)]
 
 
+def test_values_that_become_equal():
+    items = [ITEMS[1][1]]
+    texts = [items[0].replace("60", "4").replace(" 2 ", " 4 ").replace(" 3 ", " 4 "), items[0].replace("60", "4", 1)]
+    assert passages(texts, items) == [(0, 0, 24)]
+
+
 def test_planted_passages(spark, sf, real):
     items = table(spark, sf, "benchmark")
     words = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
