@@ -297,10 +297,10 @@ for _field in ("name", "address"):
 
 def _negative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s1, targets = sides(spark, sf_dir)
-    return X.scored(X.matched_pairs(s1, targets, X.hard_negatives(s1, targets, views.truth(spark, sf_dir), 1000)), "name")
+    return X.scored(X.matched_pairs(s1, targets, X.hard_negatives(s1, targets, views.truth(spark, sf_dir))), "name")
 
 
-QUERIES["hard_negatives"] = lambda s, d: X.hard_negatives(*sides(s, d), views.truth(s, d), 1000)
+QUERIES["hard_negatives"] = lambda s, d: X.hard_negatives(*sides(s, d), views.truth(s, d))
 QUERIES["discrimination"] = lambda s, d: X.discrimination(X.statistics(experiment_rows("name", s, d)), X.statistics(_negative_rows(s, d)))
 QUERIES["experiment_examples"] = lambda s, d: X.examples(experiment_rows("name", s, d))
 _add(

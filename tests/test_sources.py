@@ -78,6 +78,16 @@ def test_synthetic_and_experiments(spark):
     assert all(r.verdict == "same" for r in verdicts.where("experiment in ('A_current', 'C_unicode_accent')").collect())
 
 
+def test_every_entity_gets_a_negative(spark):
+    side = lambda p, n: spark.createDataFrame([(f"{p}-{i}", "ab"[i % 2]) for i in range(n)], "entity_id string, country_cleaned string")
+    s1, targets = side("S1", 40), side("S2", 6)
+    truth = spark.createDataFrame([(f"S1-{i}", f"S2-{j}") for i in range(40) for j in range(6) if i % 2 == j % 2 and (j < 4 or i == 0)], "s1_id string, match_id string")
+    for n, want in ((None, 39), (5, 5)):
+        got = X.hard_negatives(s1, targets, truth, n).collect()
+        assert len({r.s1_id for r in got}) == len(got) == want  # S1-0 matches all of its country
+        assert all(r.match_id == f"S2-{4 + int(r.s1_id[3:]) % 2}" for r in got)
+
+
 def test_dice(spark):
     from linkloom.functions import similarity as M
 
