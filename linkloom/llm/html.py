@@ -9,7 +9,7 @@ numbers; extraction is one map over pages, linear in the page.
 
 Defined results: null and empty pages give the empty string; a page without blocks too;
 unclosed and misnested tags, comments and raw-text elements are scanned as browsers do in
-the common cases; repeated rows are extracted alike.
+the common cases, except that the page goes on after a raw-text element without an end tag; repeated rows are extracted alike.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from linkloom.llm.common import table
 TRAIN_PAGES, ROUNDS, STEP, PRIOR = 240, 150, 0.1, 1e-3
 
 # Element names by role in the scan.
-_RAW = frozenset("script style textarea title noscript template iframe xmp svg select option button math object".split())
+_RAW = frozenset("script style textarea title noscript iframe xmp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
 _SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
@@ -126,18 +126,18 @@ def blocks(page: str) -> list[Block]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if not closing and tag in _RAW and not m[3].endswith("/"):
-            if tag in ("title", "option", "button", "select"):
+            if tag == "title":
                 cut()
             end = _RAW_ENDS[tag].search(page, at)
             if end is None:
-                break
+                continue  # unclosed: what follows is scanned as elements
             close = page.find(">", end.end())
             at = close + 1 if close >= 0 else size
         elif tag in ("br", "wbr"):
             pieces.append(" " if tag == "br" else "")
         elif tag == "a":
             in_link = not closing
-        elif tag == "hr":
+        elif tag in ("hr", "option", "button", "select"):
             cut()
         elif tag in _BLOCK:
             cut()

@@ -154,6 +154,15 @@ def test_blocks():
     assert [b.text for b in html.blocks("<div>" * 5000 + "deep")] == ["deep"]
 
 
+def test_only_raw_text_is_skipped():
+    said = lambda page: [b.text for b in html.blocks(page)]
+    assert said("<datalist><option value=a>A<option value=b></datalist><p>article") == ["A", "article"]
+    assert said("<p>one</p><button>go<p>article") == ["one", "go", "article"]
+    assert said("<object><p>fallback</object><p>so <math><mi>x</mi></math> is<template><p>later</template>") == ["fallback", "so x is", "later"]
+    assert said("<p>one</p><iframe src=x><p>two</p><script>a</script>three") == ["one", "two", "three"]
+    assert said("<select><option>x</option></select><svg><text>chart</text></svg><noscript><p>no</noscript>") == ["x", "chart"]
+
+
 def test_field_learns(field):
     pages = html.labelled_pages(150, seed=99)
     wrong = total = 0
