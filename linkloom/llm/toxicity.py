@@ -32,6 +32,8 @@ from linkloom.llm.quality import calibrate
 #: least chi-square of a term; least texts with a term; terms at most; threshold.
 LIMIT, NEAREST, BLOCK, PREFIXES, CHI2, MIN_TEXTS, MAX_TERMS, THRESHOLD = 1500, 15, 64, (4, 5, 6), 30.0, 5, 4096, 0.3
 
+#: Equal min-hashes, of 24, that make two examples near copies.
+ALIKE = 12
 #: Blocks that are opened before any bound is tested.
 FIRST_BLOCKS = 3
 #: A mark for terms that a text holds so many times, and for those held twice or more at so many a thousand words.
@@ -159,13 +161,15 @@ class Index:
 
 
 def _distinct_texts(lows: list, labels: np.ndarray) -> list[int]:
-    """Numbers of the examples that stay when near copies of a class count once (min-hash bands)."""
-    seen: set = set()
+    """Numbers of the examples that stay when near copies of a class count once (min-hash bands, then ``ALIKE`` of all min-hashes)."""
+    seen: dict[tuple, list[int]] = {}
     keep = []
     for i, low in enumerate(lows):
         bands = [(int(labels[i]), b, *low[b : b + 4]) for b in range(0, len(low), 4)]
-        if not any(b in seen for b in bands):
-            seen.update(bands)
+        rivals = {j for b in bands for j in seen.get(b, ())}
+        if not any(sum(x == y for x, y in zip(low, lows[j], strict=True)) >= ALIKE for j in rivals):
+            for b in bands:
+                seen.setdefault(b, []).append(i)
             keep.append(i)
     return keep
 

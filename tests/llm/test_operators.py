@@ -254,6 +254,11 @@ def test_texts_without_terms(spark, real, sf):
     assert {r.score for r in toxicity.score(rows, index).collect()} == {index.alone}
 
 
+def test_near_copies_are_verified():
+    lows = [list(range(24)), [0, 1, 2, 3, *range(100, 120)], [*range(20), 7, 7, 7, 7], []]
+    assert toxicity._distinct_texts(lows, np.zeros(4, int)) == [0, 1, 3]
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(5)
     n = 400
