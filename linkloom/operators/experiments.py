@@ -20,33 +20,38 @@ def matched_pairs(s1: DataFrame, targets: DataFrame, truth: DataFrame) -> DataFr
     return truth.select("s1_id", "match_id").distinct().join(side(s1, "a", "s1_id"), "s1_id").join(side(targets, "b", "match_id"), "match_id")
 
 
+def _digest(c: Column, seed: int) -> Column:
+    """52 bits of an md5, the same in any SQL engine; computed once for each entity, not for pairs."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", c, F.lit(seed)).cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def hard_negatives(s1: DataFrame, targets: DataFrame, truth: DataFrame, n: int | None = None, seed: int = 42, buckets: int = 64) -> DataFrame:
     """At most n non-matches, one for an S1 entity, of the same country: the pairs of least hash.
 
     Each entity draws from the targets of one hash bucket of its country, so the join is
     a fraction of the country product. Entities whose bucket holds no non-match draw from
     the country's first targets by hash, one more than the most matches of an entity: one
-    of those is no match unless the country has no other. Without n, the least of
-    ``MOST_NEGATIVES`` and the number of true pairs.
+    of those is no match unless the country has no other. A pair's hash is the exclusive or
+    of its entities'. Without n, the least of ``MOST_NEGATIVES`` and the number of true pairs.
     """
-    bucket = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(buckets))
     pairs = truth.select("s1_id", "match_id").distinct()
     if n is None:
         n = min(MOST_NEGATIVES, pairs.join(s1.select(F.col("entity_id").alias("s1_id")).distinct(), "s1_id", "left_semi").join(targets.select(F.col("entity_id").alias("match_id")).distinct(), "match_id", "left_semi").count())
-    a = s1.where("country_cleaned <> ''").select(F.col("entity_id").alias("s1_id"), F.col("country_cleaned").alias("cc"), bucket("entity_id").alias("_b"))
-    b = targets.select(F.col("entity_id").alias("match_id"), F.col("country_cleaned").alias("cc"), bucket("entity_id").alias("_b"))
-    order = F.xxhash64("s1_id", "match_id", F.lit(seed))
+    a = s1.where("country_cleaned <> ''").select(F.col("entity_id").alias("s1_id"), F.col("country_cleaned").alias("cc"), _digest(F.col("entity_id"), seed).alias("_ha"))
+    b = targets.select(F.col("entity_id").alias("match_id"), F.col("country_cleaned").alias("cc"), _digest(F.col("entity_id"), seed).alias("_hb"))
+    a, b = a.withColumn("_b", F.col("_ha") % buckets), b.withColumn("_b", F.col("_hb") % buckets)
+    order = F.struct(F.col("_ha").bitwiseXOR(F.col("_hb")), "match_id")
 
     def drawn(candidates: DataFrame) -> DataFrame:
-        return candidates.join(pairs, ["s1_id", "match_id"], "left_anti").groupBy("s1_id").agg(F.min_by("match_id", order).alias("match_id"))
+        return candidates.join(pairs, ["s1_id", "match_id"], "left_anti").groupBy("s1_id").agg(F.min_by("match_id", order).alias("match_id"), F.min("_ha").alias("_ha"))
 
     one = drawn(a.join(b, ["cc", "_b"]))
     if n and buckets > 1:
         most = pairs.groupBy("s1_id").count().agg(F.max("count")).first()[0] or 0  # a literal, so that Spark cuts before it sorts a country
-        first = F.row_number().over(W.partitionBy("cc").orderBy(F.xxhash64("match_id", F.lit(seed)), "match_id"))
-        few = b.select("match_id", "cc").distinct().withColumn("_r", first).where(F.col("_r") <= most + 1).select("match_id", "cc")
+        first = F.row_number().over(W.partitionBy("cc").orderBy("_hb", "match_id"))
+        few = b.select("match_id", "cc", "_hb").distinct().withColumn("_r", first).where(F.col("_r") <= most + 1).select("match_id", "cc", "_hb")
         one = one.unionByName(drawn(a.join(one, "s1_id", "left_anti").join(few, "cc")))
-    return one.orderBy(F.xxhash64("s1_id", F.lit(seed)), "s1_id").limit(n)
+    return one.orderBy("_ha", "s1_id").limit(n).select("s1_id", "match_id")
 
 
 def _scores(a: Column, b: Column, numbers: bool) -> dict[str, Column]:

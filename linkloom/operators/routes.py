@@ -117,6 +117,24 @@ def _capped(found: DataFrame, cap: int) -> DataFrame:
     return first.withColumn("_r", F.row_number().over(W.partitionBy("s1_id").orderBy("key_rank", "cand_id"))).where(F.col("_r") <= cap).select(*PAIR)
 
 
+def _first_of_each_key(postings: DataFrame, cap: int) -> DataFrame:
+    """The first ``cap`` candidates, by id, of each (cc, key); tasks cut their own share before the shuffle."""
+    order = W.partitionBy("cc", "key").orderBy("cand_id")
+    return postings.withColumn("_p", F.dense_rank().over(order)).where(F.col("_p") <= cap).drop("_p")
+
+
+def _capped_join(probes: DataFrame, postings: DataFrame, cap: int) -> DataFrame:
+    """``_capped`` of the join of ranked probes (with the key's ``df``) and postings, without the whole join.
+
+    Ranks follow df, so the keys before one of a probe lead to at least ``_last`` (the df of
+    the one before) candidates: once that reaches the cap, later keys add none. And of any
+    key the first ``cap`` candidates are enough, since those already found are fewer.
+    """
+    last = F.lag("df").over(W.partitionBy("s1_id").orderBy("key_rank"))
+    needed = probes.withColumn("_last", last).where(F.coalesce("_last", F.lit(0)) < cap)
+    return _capped(needed.join(_first_of_each_key(postings, cap), ["cc", "key"]), cap)
+
+
 def _ranked_probes(s1: DataFrame, t: DataFrame, column: str, low: int, high: int, missing: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Probe postings with key_rank, and the indexed target postings.
 
@@ -137,8 +155,7 @@ def shared_address_words(low: int = 2, high: int = 3000, cap: int | None = 200):
 
     def run(s1: DataFrame, t: DataFrame) -> DataFrame:
         probes, targets = _ranked_probes(s1, t, "addr_words", low, high)
-        found = probes.join(targets, ["cc", "key"])
-        return _capped(found, cap) if cap else found.select(*PAIR).distinct()
+        return _capped_join(probes, targets, cap) if cap else probes.join(targets, ["cc", "key"]).select(*PAIR).distinct()
 
     return run
 
@@ -154,8 +171,7 @@ def numeric_any(max_df: int = 5000, cap: int | None = 200):
 
     def run(s1: DataFrame, t: DataFrame) -> DataFrame:
         probes, targets = _ranked_probes(s1, t, "numeric_set", 1, max_df)
-        found = probes.join(targets, ["cc", "key"])
-        return _capped(found, cap) if cap else found.select(*PAIR).distinct()
+        return _capped_join(probes, targets, cap) if cap else probes.join(targets, ["cc", "key"]).select(*PAIR).distinct()
 
     return run
 
@@ -211,8 +227,9 @@ def equal_field(column: str, cap: int | None = None):
     """Equal non-null values of a column, up to a cap."""
 
     def run(s1: DataFrame, t: DataFrame) -> DataFrame:
-        found = _keyed(s1, F.col(column), "s1_id").join(_keyed(t, F.col(column), "cand_id"), ["cc", "key"]).select(*PAIR).distinct()
-        return _capped(found.withColumn("key_rank", F.lit(0)), cap) if cap else found
+        targets = _keyed(t, F.col(column), "cand_id")
+        targets = _first_of_each_key(targets, cap) if cap else targets  # a probe has one key, so this is its cap
+        return _keyed(s1, F.col(column), "s1_id").join(targets, ["cc", "key"]).select(*PAIR).distinct()
 
     return run
 
@@ -227,8 +244,8 @@ def probe_similar(column: str, probes: int, low: int, high: int, least: float, s
     def run(s1: DataFrame, t: DataFrame) -> DataFrame:
         some = s1.where(F.size(F.array_distinct(F.col(column))) >= min_keys)
         ranked, targets = _ranked_probes(some, t, column, low, high, 0 if mode == "strict" else None)
-        found = ranked.where(F.col("key_rank") <= probes).join(targets, ["cc", "key"])
-        return _similar(_capped(found, pool), s1, t, column, least, shared, cap)
+        found = _capped_join(ranked.where(F.col("key_rank") <= probes), targets, pool)
+        return _similar(found, s1, t, column, least, shared, cap)
 
     return run
 

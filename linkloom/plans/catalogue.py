@@ -256,17 +256,18 @@ def _features_sql() -> str:
 _add("features31", features, _features_sql())
 
 # Experiments
-_BOTH = "SELECT g.s1_id, g.match_id, {a}, {b} FROM (SELECT DISTINCT s1_id, match_id FROM gt) g JOIN t x ON x.entity_id = g.s1_id JOIN t y ON y.entity_id = g.match_id"
+_PAIRS = "SELECT DISTINCT s1_id, match_id FROM gt"
 
 
-def _experiment_sql(field: str) -> str:
+def _experiment_rows_sql(field: str, pairs: str = _PAIRS) -> str:
+    """A select of (s1_id, match_id, experiment, metric, score, baseline)."""
     table = _NAME_SQL if field == "name" else _ADDR_SQL
     t = f"t AS (SELECT entity_id, {', '.join(f'{e} AS {k}' for k, e in table.items())} FROM (SELECT *, {_CURRENT_ADDR} AS cur FROM ent))"
     sets = lambda x: f"list_distinct({O.words(x)})"
     jac = lambda a, b: f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
-    pairs = lambda c: f"list_transform(range(1, length({c})), lambda i: substr({c}, i, 2))"
-    count = lambda c, w: f"len(list_filter({pairs(c)}, lambda z: z = {w}))"
-    shared = f"list_sum(list_transform(list_intersect(list_distinct({pairs('a')}), list_distinct({pairs('b')})), lambda w: least({count('a', 'w')}, {count('b', 'w')})))"
+    bigrams = lambda c: f"list_transform(range(1, length({c})), lambda i: substr({c}, i, 2))"
+    count = lambda c, w: f"len(list_filter({bigrams(c)}, lambda z: z = {w}))"
+    shared = f"list_sum(list_transform(list_intersect(list_distinct({bigrams('a')}), list_distinct({bigrams('b')})), lambda w: least({count('a', 'w')}, {count('b', 'w')})))"
     score = {
         "jaccard": jac(sets("a"), sets("b")),
         "dice": f"CASE WHEN a = b THEN 1.0 WHEN length(a) < 2 OR length(b) < 2 THEN 0.0 ELSE 2 * coalesce({shared}, 0) / (length(a) + length(b) - 2) END",
@@ -275,11 +276,14 @@ def _experiment_sql(field: str) -> str:
     if field == "address":
         numbers = lambda x: f"list_distinct(regexp_extract_all({x}, '\\d+'))"
         score["numeric"] = jac(numbers("a"), numbers("b"))
-    cells = " UNION ALL ".join(f"SELECT g.s1_id, g.match_id, '{k}' AS experiment, x.{k} AS a, y.{k} AS b FROM (SELECT DISTINCT s1_id, match_id FROM gt) g JOIN t x ON x.entity_id = g.s1_id JOIN t y ON y.entity_id = g.match_id" for k in table)
+    cells = " UNION ALL ".join(f"SELECT g.s1_id, g.match_id, '{k}' AS experiment, x.{k} AS a, y.{k} AS b FROM ({pairs}) g JOIN t x ON x.entity_id = g.s1_id JOIN t y ON y.entity_id = g.match_id" for k in table)
     long = " UNION ALL ".join(f"SELECT s1_id, match_id, experiment, '{m}' AS metric, CAST({e} AS DOUBLE) AS score FROM cells" for m, e in score.items())
-    return f""", {t}, cells AS ({cells}), long AS ({long}), rows AS (SELECT l.*, b.score AS baseline FROM long l JOIN long b USING (s1_id, match_id, metric) WHERE b.experiment = 'A_current')
-SELECT experiment, metric, count(*) AS pairs, round(avg(score), 6) AS mean_score, round(median(score), 6) AS median_score, round(100.0 * avg(CASE WHEN score >= 0.9999 THEN 1.0 ELSE 0.0 END), 6) AS exact_pct,
- round(100.0 * avg(CASE WHEN score - baseline > 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS improved_pct, round(100.0 * avg(CASE WHEN score - baseline < -1e-9 THEN 1.0 ELSE 0.0 END), 6) AS worse_pct, round(100.0 * avg(CASE WHEN abs(score - baseline) <= 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS unchanged_pct FROM rows GROUP BY experiment, metric"""
+    return f"WITH {t}, cells AS ({cells}), long AS ({long}) SELECT l.*, b.score AS baseline FROM long l JOIN long b USING (s1_id, match_id, metric) WHERE b.experiment = 'A_current'"
+
+
+def _experiment_sql(field: str) -> str:
+    return f"""SELECT experiment, metric, count(*) AS pairs, round(avg(score), 6) AS mean_score, round(median(score), 6) AS median_score, round(100.0 * avg(CASE WHEN score >= 0.9999 THEN 1.0 ELSE 0.0 END), 6) AS exact_pct,
+ round(100.0 * avg(CASE WHEN score - baseline > 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS improved_pct, round(100.0 * avg(CASE WHEN score - baseline < -1e-9 THEN 1.0 ELSE 0.0 END), 6) AS worse_pct, round(100.0 * avg(CASE WHEN abs(score - baseline) <= 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS unchanged_pct FROM ({_experiment_rows_sql(field)}) GROUP BY experiment, metric"""
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -291,8 +295,7 @@ def experiment_rows(field: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 for _field in ("name", "address"):
-    QUERIES[f"experiments_{_field}"] = lambda s, d, f=_field: _rounded(X.statistics(experiment_rows(f, s, d)))
-    ORACLES[f"experiments_{_field}"] = f"WITH {O.entities('part')}{_experiment_sql(_field)}"
+    _add(f"experiments_{_field}", lambda s, d, f=_field: _rounded(X.statistics(experiment_rows(f, s, d))), _experiment_sql(_field))
 
 
 def _negative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,9 +303,28 @@ def _negative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.scored(X.matched_pairs(s1, targets, X.hard_negatives(s1, targets, views.truth(spark, sf_dir))), "name")
 
 
-QUERIES["hard_negatives"] = lambda s, d: X.hard_negatives(*sides(s, d), views.truth(s, d))
-QUERIES["discrimination"] = lambda s, d: X.discrimination(X.statistics(experiment_rows("name", s, d)), X.statistics(_negative_rows(s, d)))
-QUERIES["experiment_examples"] = lambda s, d: X.examples(experiment_rows("name", s, d))
+_DIGEST = "CAST('0x' || left(md5(entity_id || ':42'), 13) AS BIGINT)"
+_NEAREST = "SELECT c.s1_id, c.match_id, ha FROM ({}) c ANTI JOIN (SELECT DISTINCT s1_id, match_id FROM gt) p ON p.s1_id = c.s1_id AND p.match_id = c.match_id QUALIFY row_number() OVER (PARTITION BY c.s1_id ORDER BY xor(ha, hb), c.match_id) = 1"
+_NEGATIVES = f"""WITH ha AS (SELECT entity_id AS s1_id, country_cleaned AS cc, {_DIGEST} AS ha FROM s1 WHERE country_cleaned <> ''), hb AS (SELECT entity_id AS match_id, country_cleaned AS cc, {_DIGEST} AS hb FROM tg),
+ near AS ({_NEAREST.format("SELECT s1_id, match_id, ha, hb FROM ha JOIN hb ON ha.cc = hb.cc AND ha % 64 = hb % 64")}),
+ few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cc ORDER BY hb, match_id) AS r FROM hb) WHERE r <= (SELECT 1 + max(n) FROM (SELECT count(*) AS n FROM ({_PAIRS}) GROUP BY s1_id))),
+ rest AS ({_NEAREST.format("SELECT s1_id, match_id, ha, hb FROM (SELECT * FROM ha WHERE s1_id NOT IN (SELECT s1_id FROM near)) a JOIN few ON few.cc = a.cc")})
+SELECT s1_id, match_id FROM (SELECT * FROM near UNION ALL SELECT * FROM rest) ORDER BY ha, s1_id LIMIT (SELECT least(50000, count(*)) FROM ({_PAIRS}) p WHERE s1_id IN (SELECT entity_id FROM s1) AND match_id IN (SELECT entity_id FROM tg))"""
+_MEANS = "SELECT experiment, metric, avg(score) AS {} FROM ({}) GROUP BY experiment, metric"
+_GAPS = f"SELECT experiment, metric, true_mean, negative_mean, true_mean - negative_mean AS gap FROM ({_MEANS.format('true_mean', _experiment_rows_sql('name'))}) JOIN ({_MEANS.format('negative_mean', _experiment_rows_sql('name', _NEGATIVES))}) USING (experiment, metric)"
+_VERDICT = "CASE WHEN gap - base > 0.001 THEN 'better' WHEN gap - base < -0.001 THEN 'worse' ELSE 'same' END"
+_add("hard_negatives", lambda s, d: X.hard_negatives(*sides(s, d), views.truth(s, d)), f"SELECT * FROM ({_NEGATIVES})")
+_add(
+    "discrimination",
+    lambda s, d: _rounded(X.discrimination(X.statistics(experiment_rows("name", s, d)), X.statistics(_negative_rows(s, d)))),
+    f"SELECT experiment, metric, round(true_mean, 6) AS true_mean, round(negative_mean, 6) AS negative_mean, round(gap, 6) AS gap, {_VERDICT} AS verdict FROM (SELECT *, first_value(gap) OVER (PARTITION BY metric ORDER BY experiment) AS base FROM ({_GAPS}))",
+)
+_KIND = "CASE WHEN score - baseline > 0.05 THEN 'help' WHEN score - baseline < -0.05 THEN 'hurt' END"
+_add(
+    "experiment_examples",
+    lambda s, d: _rounded(X.examples(experiment_rows("name", s, d))),
+    f"SELECT experiment, kind, s1_id, match_id, round(gain, 6) AS gain FROM (SELECT *, {_KIND} AS kind, score - baseline AS gain FROM ({_experiment_rows_sql('name')}) WHERE metric = 'jaccard') WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY experiment, kind ORDER BY s1_id, match_id) <= 10",
+)
 _add(
     "country_consistency",
     lambda s, d: X.country_consistency(X.matched_pairs(*sides(s, d), views.truth(s, d))),

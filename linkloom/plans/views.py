@@ -39,9 +39,20 @@ VIEWS = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the cluster has cores, dealt out to all cores.
+
+    Spark cuts a scan finely enough for all cores unless the table is only some MB a core, so
+    what is shuffled here is bounded by the cluster; larger tables stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def raw(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     table, columns = VIEWS[view]
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+    exprs = [f"{e} AS {c}" for c, e in columns.items()]
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*exprs))
 
 
 def raw_sql(view: str) -> str:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from linkloom.operators import evaluate as E
@@ -54,6 +56,23 @@ def test_strict_probing_spends_places_on_unindexed_keys(spark):
     assert len(found(R.probe_similar("addr_words", 2, 2, 2500, 0.2, 1), sides)) == 2
 
 
+def test_capped_joins_equal_the_whole_join_cut_afterwards(spark):
+    rng = random.Random(4)
+    number = lambda: min(rng.randrange(1, 30), rng.randrange(1, 30))
+    rows = [(f"S{1 + i % 3}-{i % 230}", "", f"{number()} word{number()} street{number()} {number()} tower{number()}", rng.choice(["us", "india"])) for i in range(240)]
+    sides = frames(spark, rows)
+    for column in ("numeric_set", "addr_words"):
+        for cap in (1, 3, 10, 1000):
+            probes, targets = R._ranked_probes(*sides, column, 1, 60)
+            whole = R._capped(probes.join(targets, ["cc", "key"]), cap)
+            pairs = lambda df: sorted((r.s1_id, r.cand_id) for r in df.collect())
+            assert pairs(R._capped_join(probes, targets, cap)) == pairs(whole) != []
+    first = {}
+    for s1, cand in sorted(found(R.equal_field("house_number"), sides)):
+        first.setdefault(s1, []).append(cand)
+    assert found(R.equal_field("house_number", 2), sides) == {(s, c) for s, cands in first.items() for c in cands[:2]}
+
+
 def test_numeric_routes(spark):
     sides = frames(spark, [("S1-1", "", "12 x 34", "us"), ("S2-1", "", "12 y 34", "us"), ("S2-2", "", "12 y", "us"), ("S2-3", "", "12 34 56", "us")])
     assert found(R.numeric_all(), sides) == {("S1-1", "S2-1"), ("S1-1", "S2-3")}
