@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import kernels as K
-from linkloom.llm.common import table
+from linkloom.llm.common import mapped, table
 
 #: Words in a window; plain words that it needs; words of an item that a passage must hold
 #: (all of a shorter item's); gap between diagonals of one passage; smallest item that
@@ -258,7 +258,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
                         names=["doc_id", "item_id", "first_word", "end_word", "coverage", "slots", "same_values"],
                     )
 
-        return texts.mapInArrow(run, schema)
+        return mapped(texts, run, schema)
 
     scans = [scan(b) for b in _blocks_of(benchmark, item_column, item_text_column, block_windows)]
     return reduce(DataFrame.unionByName, scans) if scans else docs.sparkSession.createDataFrame([], schema)
@@ -280,7 +280,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", it
                     keep[[t for t, *_ in match(canonical(data, offsets), hi - lo, own, indexes)]] = False
                     yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
-        return rows.mapInArrow(run, docs.schema)
+        return mapped(rows, run, docs.schema)
 
     return reduce(without, _blocks_of(benchmark, item_column, item_text_column, block_windows), docs)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import table
+from linkloom.llm.common import mapped, table
 
 #: Labelled pages that are made, rounds and step of training, weight of the prior.
 TRAIN_PAGES, ROUNDS, STEP, PRIOR = 240, 150, 0.1, 1e-3
@@ -362,7 +362,7 @@ def extract(pages: DataFrame, field: Field, id_column: str = "page_id", url_colu
 
     kind = pages.schema[id_column].dataType.simpleString()
     columns = [F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html")]
-    return pages.select(*columns).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return mapped(pages.select(*columns), run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op3_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

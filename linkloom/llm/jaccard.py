@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.llm import kernels as K
-from linkloom.llm.common import checkpointed, table
+from linkloom.llm.common import checkpointed, mapped, table
 
 #: Words in a shingle; similarity as a fraction; longest l; cost of a verification in scans.
 WORDS, NUM, DEN, MOST_MATCHES, VERIFY_COST = 5, 3, 4, 4, 20.0
@@ -109,7 +109,7 @@ def members(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for lo, hi, _, counts, nodes in _each(batch.column(1), words):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(nodes.view(np.int64)), pa.array(counts, pa.int64())], names=["doc_id", "node", "n"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n long")
+    return mapped(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n long")
 
 
 def _summed(parts: DataFrame, width: int, fold: Callable, kind: str) -> np.ndarray:
@@ -146,7 +146,7 @@ def sketch(docs: DataFrame, bits: int, words: int = WORDS) -> np.ndarray:
                 np.add.at(counts, (grams[keep] >> _U(64 - bits)).astype(np.int64), np.uint32(1))
         yield _pieces(counts)
 
-    return _summed(docs.mapInArrow(run, "segment int, body binary"), 1 << bits, lambda a, b: np.minimum(a.astype(np.uint64) + b, 2**32 - 1).astype(np.uint32), "uint32")
+    return _summed(mapped(docs, run, "segment int, body binary"), 1 << bits, lambda a, b: np.minimum(a.astype(np.uint64) + b, 2**32 - 1).astype(np.uint32), "uint32")
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ def prefixes(docs: DataFrame, classes: np.ndarray, words: int = WORDS, only: np.
                 columns = (grams[inside].view(np.int64), np.repeat(node, n)[inside].view(np.int64), np.repeat(n, n)[inside].astype(np.int32), place[inside].astype(np.int32), np.repeat(matches, n)[inside].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "n", "place", "matches"])
 
-    return docs.mapInArrow(run, "token long, node long, n int, place int, matches int")
+    return mapped(docs, run, "token long, node long, n int, place int, matches int")
 
 
 def shared_prefixes(docs: DataFrame, classes: np.ndarray, words: int = WORDS) -> DataFrame:
@@ -272,7 +272,7 @@ def _filter_of(nodes: DataFrame, count: int) -> np.ndarray:
             flags[(K.mix64(batch.column(0).to_numpy().view(np.uint64)) >> _U(64 - bits)).astype(np.int64)] = True
         yield _pieces(np.packbits(flags))
 
-    return _summed(nodes.mapInArrow(run, "segment int, body binary"), 1 << (bits - 3), np.bitwise_or, "uint8")
+    return _summed(mapped(nodes, run, "segment int, body binary"), 1 << (bits - 3), np.bitwise_or, "uint8")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, count: int, words: int = WORDS) -> DataFrame:
@@ -287,7 +287,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, count: int, words: int = WORDS) -
                 use[use] = seen.new(names[use])
                 yield pa.RecordBatch.from_arrays([pa.array(names[use].view(np.int64)), K.list_array(grams[np.repeat(use, counts)].view(np.int64), counts[use], pa.int64())], names=["node", "shingles"])
 
-    found = docs.mapInArrow(run, "node long, shingles array<long>").join(nodes, "node", "left_semi")
+    found = mapped(docs, run, "node long, shingles array<long>").join(nodes, "node", "left_semi")
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from linkloom.llm import kernels as K
-from linkloom.llm.common import table
+from linkloom.llm.common import mapped, table
 
 #: Words in a gram, words in a template segment, gap between diagonals that are merged,
 #: and the least share of a segment's grams in a verified span.
@@ -102,8 +102,8 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     kind = docs.schema[id_column].dataType.simpleString()
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     head = f"doc_id {kind}, text_key long, n_words long"
-    rows = texts.mapInArrow(_gram_mapper(False), head)
-    grams = texts.mapInArrow(_gram_mapper(True), head + ", grams array<long>")
+    rows = mapped(texts, _gram_mapper(False), head)
+    grams = mapped(texts, _gram_mapper(True), head + ", grams array<long>")
     index = spark.createDataFrame(template_rows() if templates is None else templates, "gram long, segment int, place int, votes int, label string, is_base boolean, whole boolean, words int")
     keys = ["doc_id", "text_key", "segment"]
     hits = grams.select("doc_id", "text_key", F.posexplode("grams").alias("pos", "gram")).join(F.broadcast(index), "gram")

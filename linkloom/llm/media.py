@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import kernels as K
-from linkloom.llm.common import table
+from linkloom.llm.common import mapped, table
 
 #: Frame side, bytes in a frame, frames in a chunk, ticks in a second, ticks in a frame.
 SIDE, FRAME, PER_CHUNK, TIMESCALE, TICKS = 24, 576, 64, 600, 24
@@ -225,7 +225,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each text's UTF-8 bytes as a container file."""
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(_store, f"doc_id {kind}, n_bytes long, media binary")
+    return mapped(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")), _store, f"doc_id {kind}, n_bytes long, media binary")
 
 
 _COLUMNS = "media_bytes long, media_sha256 string, codec string, duration double, n_samples long, keyframes array<struct<start: long, end: long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, error string"
@@ -255,7 +255,7 @@ def media_columns(files: DataFrame, media_column: str = "media", keep: tuple[str
             arrays = [pa.array(x, type=k) for x, k in zip(found, _ARROW, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*keep, *(c.split()[0] for c in _COLUMNS.replace("struct<start: long, end: long>", "x").split(", "))])
 
-    return files.select(*keep, F.col(media_column).alias("_media")).mapInArrow(run, ", ".join([*kept, _COLUMNS]))
+    return mapped(files.select(*keep, F.col(media_column).alias("_media")), run, ", ".join([*kept, _COLUMNS]))
 
 
 def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:

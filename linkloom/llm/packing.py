@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from linkloom.llm import kernels as K
-from linkloom.llm.common import checkpointed, table
+from linkloom.llm.common import checkpointed, mapped, table
 
 #: Tokens in a sequence; parts into which the pieces of one length are ranked.
 CAPACITY, N_PARTS = 2048, 64
@@ -271,7 +271,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_column
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every row's token ids and the end id."""
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(_piece_mapper(path, capacity, with_ids), schema)
+    return mapped(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")), _piece_mapper(path, capacity, with_ids), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

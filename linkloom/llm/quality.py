@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import kernels as K
-from linkloom.llm.common import fold, labelled, table
+from linkloom.llm.common import fold, labelled, mapped, table
 
 #: Labelled texts a class at most; least texts with a feature; features at most; threshold.
 LIMIT, MIN_TEXTS, MAX_FEATURES, THRESHOLD = 2000, 4, 1 << 17, 0.7
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     """A model from at most ``limit`` labelled texts a class, none of the held-out fold."""
     picked = labelled(docs, labels, label, limit, id_column, text_column).select("_id", "text", "y")
     kind = picked.schema["_id"].dataType.simpleString()
-    rows = picked.mapInArrow(_feature_sets, f"_id {kind}, y int, features array<long>").toArrow().sort_by("_id")
+    rows = mapped(picked, _feature_sets, f"_id {kind}, y int, features array<long>").toArrow().sort_by("_id")
     sets = [np.asarray(x.values).view(np.uint64) for x in rows["features"]]
     share = labels.where(F.col(label).isin(0, 1) & (fold(id_column) != 2)).agg(F.avg(F.col(label).cast("double"))).first()[0]
     return fit(sets, rows["y"].to_numpy(), (1 - (share or 0.5), share or 0.5))
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_column
             for lo, hi, p in scored(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return mapped(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")), run, f"doc_id {kind}, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
@@ -207,7 +207,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_c
             for lo, hi, p in scored(batch.column(at)):
                 yield batch.slice(lo, hi - lo).filter(pa.array(p >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import kernels as K
-from linkloom.llm.common import checkpointed, fold, labelled, table
+from linkloom.llm.common import checkpointed, fold, labelled, mapped, table
 from linkloom.llm.quality import calibrate
 
 #: Labelled texts a class at most; neighbours; examples in a block; bytes of word beginnings;
@@ -250,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     """
     picked = labelled(docs, labels, label, limit, id_column, text_column).select("_id", "text", "y")
     kind = picked.schema["_id"].dataType.simpleString()
-    rows = checkpointed(picked.mapInArrow(_term_counts, f"_id {kind}, y int, terms array<long>, counts array<int>, plain array<long>, low array<long>"))
+    rows = checkpointed(mapped(picked, _term_counts, f"_id {kind}, y int, terms array<long>, counts array<int>, plain array<long>, low array<long>"))
     seen = rows.select("_id", "y", "low").orderBy("_id", "low").collect()  # 24 numbers a labelled text
     stay = [seen[i] for i in _distinct_texts([r["low"] for r in seen], [r["y"] for r in seen])]
     names, y = [r["_id"] for r in stay], np.array([r["y"] for r in stay], np.int64)
@@ -277,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
             own = np.bincount(np.repeat(np.arange(len(size)), size)[ok], minlength=len(size))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), K.list_array(flat[ok], own, pa.int64()), K.list_array(n[ok], own, pa.int32())], names=["_id", "y", "terms", "counts"])
 
-    few = rows.select("_id", "y", "terms", "counts").mapInArrow(restrict, f"_id {kind}, y int, terms array<long>, counts array<int>").toArrow().sort_by("_id")
+    few = mapped(rows.select("_id", "y", "terms", "counts"), restrict, f"_id {kind}, y int, terms array<long>, counts array<int>").toArrow().sort_by("_id")
     sets = [np.asarray(x.values).view(np.uint64) for x in few["terms"]]
     return assemble(keys, plain[chosen].view(np.uint64), df[chosen].astype(float), sets, [np.asarray(x.values) for x in few["counts"]], few["y"].to_numpy().astype(np.int64), few["_id"].to_pylist(), shares)
 
@@ -321,7 +321,7 @@ def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD, id_column
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), pa.array(evidence, proof)], names=["doc_id", "score", "predicted", "evidence"])
 
     schema = f"doc_id {kind}, score double, predicted int, evidence array<struct<example: string, cosine: double, toxic: int>>"
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")), run, schema)
 
 
 def harmless(docs: DataFrame, index: Index, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
@@ -334,7 +334,7 @@ def harmless(docs: DataFrame, index: Index, threshold: float = THRESHOLD, text_c
             for lo, hi, p, _ in scored(batch.column(at)):
                 yield batch.slice(lo, hi - lo).filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

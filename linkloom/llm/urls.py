@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import kernels as K
-from linkloom.llm.common import table
+from linkloom.llm.common import mapped, table
 
 #: Hashed features, n-gram lengths, rows of the training table that are used at most.
 BITS, GRAMS, TRAIN_ROWS = 14, (3, 4, 5), 20_000
@@ -137,7 +137,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str
                 )
 
     kind = pages.schema[id_column].dataType.simpleString()
-    return pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url")).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+    return mapped(pages.select(F.col(id_column).alias("page_id"), F.col(url_column).cast("string").alias("url")), run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
