@@ -88,12 +88,12 @@ class Model:
 def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, float]:
     """min |w|^2/2 + sum cost_i hinge_i over rows of unit-norm scaled indicators; (w, bias)."""
     w, b, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
-    norms = [1 / max(1e-9, float(np.linalg.norm(scale[r]))) for r in rows]
+    unit = [scale[r] / max(1e-9, float(np.linalg.norm(scale[r]))) for r in rows]
     rng = np.random.Generator(np.random.PCG64(7))
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            r, x = rows[i], scale[rows[i]] * norms[i]
+            r, x = rows[i], unit[i]
             q = 2.0 if len(r) else 1.0  # the squared norm with the bias's 1
             new = min(cost[i], max(0.0, alpha[i] + (1 - y[i] * (float(w[r] @ x) + b)) / q))
             step = (new - alpha[i]) * y[i]
@@ -140,7 +140,8 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, shares: tuple[float, float],
     least = min(MIN_TEXTS, max(1, len(sets) // 20))
     floor = max(least, int(np.partition(counts, -MAX_FEATURES)[-MAX_FEATURES]) + 1 if len(counts) > MAX_FEATURES else 0)
     keys = keys[counts >= floor]
-    rows = [np.searchsorted(keys, s[np.isin(s, keys)]) for s in sets]
+    index = K.HashIndex(keys)
+    rows = [at[at >= 0] for at in map(index.find, sets)]
     weight = np.where(y == 1, shares[1] / (y == 1).sum(), shares[0] / (y == -1).sum()) * len(y)
     cost = np.where(y == 1, len(y) / (2 * (y == 1).sum()), len(y) / (2 * (y == -1).sum()))
     part = np.arange(len(y)) % folds
