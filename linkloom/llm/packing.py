@@ -35,7 +35,7 @@ from linkloom.llm.common import checkpointed, mapped, table
 CAPACITY, N_PARTS = 2048, 64
 END_ID = 0
 #: Pre-tokens kept by a worker before its cache starts anew.
-CACHE_PIECES = 1 << 20
+CACHE_PIECES = 1 << 18
 
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
