@@ -1,17 +1,21 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max index.
 
 Examples are at most ``LIMIT`` labelled texts a class, near copies among them counted
-once. Terms are words and word beginnings whose document frequencies differ between the
-classes beyond chance; a text's vector is its TF-IDF over these terms. Examples are
-numbered in blocks, and the index keeps for every term and block the largest weight: a
-block is opened only while the sum of its maxima can still reach the k best, so the k
-nearest are exact. Their votes, weighted by squared cosine, become probabilities by
-logistic calibration on leave-one-out votes. The index is bounded and broadcast; scoring
-is one map over all texts, with the nearest examples as evidence.
-
-Defined results: a null or empty text, or one without any term, has no neighbours and
-scores the share of toxic texts among such labelled texts; ties between examples go to
-the smaller number; without labels of both classes every text scores 0.
+once. Class terms are words and word beginnings whose document frequencies differ between
+the classes beyond chance; a text that holds any is compared by its TF-IDF over these.
+Their votes, weighted by squared cosine, become probabilities by logistic calibration on
+leave-one-out votes. A text that holds none is compared by its TF-IDF over all words with
+the examples that hold none either, and those of a cosine of ``LEAST_COSINE`` or more vote,
+so that a copy of an example whose words are all rare is found as well.
+
+Examples are numbered in blocks, and both indexes keep for every term and block the
+largest weight: a block is opened only while the sum of its maxima can still reach the k
+best, so the k nearest are exact. The indexes are bounded by the examples and broadcast;
+scoring is one map over all texts, with the nearest examples as evidence.
+
+Defined results: a null or empty text, or one without class terms and neighbours, scores
+the share of toxic texts among labelled texts without class terms; ties between examples
+go to the smaller number; without labels of both classes every text scores 0.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from linkloom.llm.quality import calibrate
 #: least chi-square of a term; least texts with a term; terms at most; threshold.
 LIMIT, NEAREST, BLOCK, PREFIXES, CHI2, MIN_TEXTS, MAX_TERMS, THRESHOLD = 1500, 15, 64, (4, 5, 6), 30.0, 5, 4096, 0.3
 
+#: Least cosine over all words of an example that votes on a text without class terms.
+LEAST_COSINE = 0.5
 #: Equal min-hashes, of 24, that make two examples near copies.
 ALIKE = 12
 #: Blocks that are opened before any bound is tested.
@@ -44,7 +50,7 @@ _EMPTY = (np.empty(0, np.int64), np.empty(0, np.uint64))
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, term hash) of every occurrence of a word or word beginning."""
+    """(text number, term hash) of every occurrence of a word or word beginning; those of words come first."""
     low = K.LOWER[data]
     start, end, text = K.find_words(low, offsets)
     if not len(start):
@@ -86,13 +92,105 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in K.chunks(batch.column(1)):
-            text, h, n, plain = marked(*_counted(*terms(data, offsets)), _words(data, offsets))
+            text, h = terms(data, offsets)
+            size = _words(data, offsets)
+            own, word, times = _counted(text[: size.sum()], h[: size.sum()])
+            text, h, n, plain = marked(*_counted(text, h), size)
             order = np.argsort(text, kind="stable")
             counts = np.bincount(text, minlength=hi - lo)
             lists = [K.list_array(x[order], counts, k) for x, k in ((h.view(np.int64), pa.int64()), (n, pa.int32()), (plain.view(np.int64), pa.int64()))]
+            lists += [K.list_array(x, np.bincount(own, minlength=hi - lo), k) for x, k in ((word.view(np.int64), pa.int64()), (times, pa.int32()))]
             ends = np.append(0, np.cumsum(counts))
             low = pa.array([least_hashes(plain[order][a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *lists, low], names=["_id", "y", "terms", "counts", "plain", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *lists, low], names=["_id", "y", "terms", "counts", "plain", "words", "times", "low"])
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges lo to hi, end to end, and the ranges' sizes."""
+    size = (hi - lo).astype(np.int64)
+    return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum()), size
+
+
+@dataclass
+class WordIndex:
+    """Unit TF-IDF vectors of examples over all their words, by word in order of examples, with block maxima.
+
+    Examples without words here (those that class terms speak for) have no postings. A
+    word's postings in one block are an entry, which keeps their largest weight.
+    """
+
+    keys: np.ndarray  # word hashes
+    idf: np.ndarray
+    unseen: float  # idf of a word that no example has
+    entries: np.ndarray  # begin of each word's, and the end
+    block: np.ndarray  # of each entry
+    most: np.ndarray  # weight in each entry
+    begin: np.ndarray  # of each entry's postings, and the end
+    example: np.ndarray
+    weight: np.ndarray
+    mass: np.ndarray  # of each example: how many texts of the corpus it stands for, one on average
+
+    def weights(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """TF-IDF of words by their places, -1 for unseen ones."""
+        return (1 + np.log(counts)) * np.where(at >= 0, self.idf[at] if len(self.idf) else self.unseen, self.unseen)
+
+    def nearest(self, at: np.ndarray, v: np.ndarray, k: int = NEAREST, least: float = LEAST_COSINE) -> tuple[np.ndarray, np.ndarray, int]:
+        """(examples, cosines, blocks opened) of the exact k nearest with a cosine of ``least`` or more.
+
+        ``v``: the weights of the words that examples have, of a vector of length 1. An example
+        that shares none of the heaviest words, up to where the others' norm is less than
+        ``least``, can't reach it; so only blocks with one of those are bounded at all.
+        """
+        nothing = np.empty(0, np.int64), np.empty(0), 0
+        order = np.argsort(-v, kind="stable")
+        at, v = at[order], v[order]
+        after = np.sqrt(np.append(np.cumsum((v * v)[::-1])[::-1], 0.0))
+        needed = int(np.argmax(after < least - 1e-6))
+        if not needed:
+            return nothing
+        rows, size = _ranges(self.entries[at], self.entries[at + 1])
+        some = np.zeros(int(self.block.max()) + 1, bool)
+        some[self.block[rows[: size[:needed].sum()]]] = True
+        scale = np.repeat(v, size)
+        keep = some[self.block[rows]]
+        rows, scale = rows[keep], scale[keep]
+        bound = np.bincount(self.block[rows], scale * self.most[rows], len(some))
+        blocks = np.argsort(-bound, kind="stable")
+        blocks = blocks[bound[blocks] >= least - 1e-6]
+        best, score, opened = *nothing[:2], 0
+        while len(blocks):
+            floor = least if len(best) < k else max(least, score[-1])
+            blocks = blocks[bound[blocks] >= floor - 1e-6]
+            batch, blocks = blocks[: len(blocks) if opened else FIRST_BLOCKS], blocks[len(blocks) if opened else FIRST_BLOCKS :]
+            if not len(batch):
+                break
+            opened += len(batch)
+            into = np.isin(self.block[rows], batch)
+            posts, own = _ranges(self.begin[rows[into]], self.begin[rows[into] + 1])
+            total = np.bincount(self.example[posts], np.repeat(scale[into], own) * self.weight[posts])
+            got = np.flatnonzero(total >= least)
+            best, score = np.append(best, got), np.append(score, total[got])
+            top = np.lexsort((best, -np.round(score, 6)))[:k]
+            best, score = best[top], score[top]
+        return best, score, opened
+
+
+def index_words(sets: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, shares: tuple[float, float]) -> WordIndex:
+    """``sets``, ``counts``: the examples' distinct word hashes and their numbers, in the order of the class index."""
+    n = len(sets)
+    example = np.repeat(np.arange(n), [len(s) for s in sets])
+    keys, word, df = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    idf = np.log((1 + n) / (1 + df)) + 1
+    weight = (1 + np.log(np.concatenate([np.empty(0), *counts]))) * idf[word]
+    weight = weight / np.sqrt(np.bincount(example, weight * weight, n))[example]  # only examples with words are asked for
+    order = np.lexsort((example, word))
+    word, example, weight = word[order], example[order].astype(np.int32), weight[order].astype(np.float32)
+    block = example // BLOCK
+    new = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (block[1:] != block[:-1]))) if len(word) else np.empty(0, np.int64)
+    most = np.maximum.reduceat(weight, new) if len(new) else weight
+    sizes = np.bincount(y, minlength=2)
+    mass = np.where(y == 1, shares[1] / sizes[1], shares[0] / sizes[0]) * n
+    return WordIndex(keys, idf, float(np.log(1 + n) + 1), np.searchsorted(word[new], np.arange(len(keys) + 1)).astype(np.int32), block[new].astype(np.int32), most, np.append(new, len(word)).astype(np.int32), example, weight, mass)
 
 
 @dataclass
@@ -111,6 +209,7 @@ class Index:
     slope: float = 0.0
     shift: float = 0.0
     alone: float = 0.0  # probability of a text without terms
+    words: WordIndex | None = None
 
     def vector(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         v = (1 + np.log(counts)) * self.idf[at]
@@ -156,6 +255,11 @@ class Index:
         w = score * score
         return float((w * self.toxic[best]).sum() / (w.sum() + 0.05))
 
+    def word_vote(self, best: np.ndarray, score: np.ndarray) -> float:
+        """The share of toxic texts that the neighbours over all words stand for, with few texts without neighbours."""
+        w = score * score * self.words.mass[best]
+        return float(((w * self.toxic[best]).sum() + 0.05 * self.alone) / (w.sum() + 0.05))
+
     def probability(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * votes + self.shift, -500, 500)))
 
@@ -246,11 +350,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     """An index of at most ``limit`` labelled texts a class, none of the held-out fold.
 
     Document frequencies are counted in Spark; the driver sees the terms that enough
-    examples have, and of the examples only the chosen terms.
+    examples have, and of the examples the chosen terms and the distinct words.
     """
     picked = labelled(docs, labels, label, limit, id_column, text_column).select("_id", "text", "y")
     kind = picked.schema["_id"].dataType.simpleString()
-    rows = checkpointed(mapped(picked, _term_counts, f"_id {kind}, y int, terms array<long>, counts array<int>, plain array<long>, low array<long>"))
+    rows = checkpointed(mapped(picked, _term_counts, f"_id {kind}, y int, terms array<long>, counts array<int>, plain array<long>, words array<long>, times array<int>, low array<long>"))
     seen = rows.select("_id", "y", "low").orderBy("_id", "low").collect()  # 24 numbers a labelled text
     stay = [seen[i] for i in _distinct_texts([r["low"] for r in seen], [r["y"] for r in seen])]
     names, y = [r["_id"] for r in stay], np.array([r["y"] for r in stay], np.int64)
@@ -275,23 +379,52 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
             flat, n = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
             ok = find.find(flat.view(np.uint64)) >= 0
             own = np.bincount(np.repeat(np.arange(len(size)), size)[ok], minlength=len(size))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), K.list_array(flat[ok], own, pa.int64()), K.list_array(n[ok], own, pa.int32())], names=["_id", "y", "terms", "counts"])
-
-    few = mapped(rows.select("_id", "y", "terms", "counts"), restrict, f"_id {kind}, y int, terms array<long>, counts array<int>").toArrow().sort_by("_id")
-    sets = [np.asarray(x.values).view(np.uint64) for x in few["terms"]]
-    return assemble(keys, plain[chosen].view(np.uint64), df[chosen].astype(float), sets, [np.asarray(x.values) for x in few["counts"]], few["y"].to_numpy().astype(np.int64), few["_id"].to_pylist(), shares)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), K.list_array(flat[ok], own, pa.int64()), K.list_array(n[ok], own, pa.int32()), batch.column(4), batch.column(5)], names=["_id", "y", "terms", "counts", "words", "times"])
+
+    few = mapped(rows.select("_id", "y", "terms", "counts", "words", "times"), restrict, f"_id {kind}, y int, terms array<long>, counts array<int>, words array<long>, times array<int>").toArrow().sort_by("_id")
+    sets, counts, words, times = ([np.asarray(x.values) for x in few[c]] for c in ("terms", "counts", "words", "times"))
+    names = few["_id"].to_pylist()
+    index = assemble(keys, plain[chosen].view(np.uint64), df[chosen].astype(float), [s.view(np.uint64) for s in sets], counts, few["y"].to_numpy().astype(np.int64), names, shares)
+    place = {name: i for i, name in enumerate(names)}
+    order = [place[name] for name in index.names]
+    bare = np.bincount(index.example, minlength=len(order)) == 0
+    words, times = ([x[i] if b else x[i][:0] for i, b in zip(order, bare, strict=True)] for x in (words, times))
+    index.words = index_words([w.view(np.uint64) for w in words], times, index.toxic, shares)
+    return index
 
 
 def _scorer(shared):
     """For a worker: (first row, end row, probabilities, evidence) of a text column, chunk by chunk."""
     own = shared.value
     find, plain = K.HashIndex(own.keys), K.HashIndex(own.plain)
+    vocabulary = K.HashIndex(own.words.keys if own.words else np.empty(0, np.uint64))
+
+    def proof(best: np.ndarray, cosine: np.ndarray) -> list[dict]:
+        return [{"example": str(own.names[i]), "cosine": float(c), "toxic": int(own.toxic[i])} for i, c in zip(best[:3], cosine[:3], strict=True)]
+
+    def by_words(text: np.ndarray, h: np.ndarray, p: np.ndarray, evidence: list) -> None:
+        """Fill in the texts that have neighbours over all words; ``text``, ``h``: the words of texts without class terms."""
+        text, h, n = _counted(text, h)
+        at = vocabulary.find(h)
+        v = own.words.weights(at, n)
+        norm = np.sqrt(np.bincount(text, v * v, len(p)))
+        v = v / norm[text]
+        seen = np.sqrt(np.bincount(text[at >= 0], (v * v)[at >= 0], len(p)))
+        use = (at >= 0) & (seen >= LEAST_COSINE - 1e-6)[text]  # other texts can't be so close to any example
+        text, at, v = text[use], at[use], v[use]
+        cuts = [*np.flatnonzero(text[1:] != text[:-1]) + 1, len(text)] if len(text) else []
+        for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
+            best, cosine, _ = own.words.nearest(at[a:b], v[a:b])
+            if len(best):
+                p[text[a]], evidence[text[a]] = own.word_vote(best, cosine), proof(best, cosine)
 
     def run(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list]]:
         for lo, hi, data, offsets in K.chunks(column):
             text, h = terms(data, offsets)
             some = plain.find(h) >= 0
-            text, h, n, _ = marked(*_counted(text[some], h[some]), _words(data, offsets))
+            size = _words(data, offsets)
+            words = text[: size.sum()], h[: size.sum()]
+            text, h, n, _ = marked(*_counted(text[some], h[some]), size)
             at = find.find(h)
             order = np.lexsort((at, text))
             order = order[at[order] >= 0]
@@ -301,8 +434,11 @@ def _scorer(shared):
             cuts = [*np.flatnonzero(text[1:] != text[:-1]) + 1, len(text)] if len(text) else []
             for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
                 best, cosine, _ = own.nearest(at[a:b], own.vector(at[a:b], n[a:b]))
-                p[text[a]] = own.probability(np.array([own.vote(best, cosine)]))[0]
-                evidence[text[a]] = [{"example": str(own.names[i]), "cosine": float(c), "toxic": int(own.toxic[i])} for i, c in zip(best[:3], cosine[:3], strict=True)]
+                p[text[a]], evidence[text[a]] = own.probability(np.array([own.vote(best, cosine)]))[0], proof(best, cosine)
+            if own.words:
+                bare = np.ones(hi - lo, bool)
+                bare[text] = False
+                by_words(*(x[bare[words[0]]] for x in words), p, evidence)
             yield lo, hi, p, evidence
 
     return run
@@ -311,7 +447,7 @@ def _scorer(shared):
 def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, score, predicted, evidence) of every row; evidence: the nearest examples."""
     kind = docs.schema[id_column].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by LIMIT and MAX_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_TERMS and the words of 2 * LIMIT examples
     proof = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

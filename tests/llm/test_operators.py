@@ -283,6 +283,55 @@ def test_nearest_is_exact():
     assert opened and min(opened) < index.block_max.shape[1]
 
 
+def test_nearest_over_all_words_is_exact():
+    rng = np.random.default_rng(11)
+    n, base = 300, [rng.integers(0, 3000, size=40) for _ in range(12)]
+    sets, counts = [], []
+    for _ in range(n):
+        of = base[rng.integers(12)]
+        words, times = np.unique(np.concatenate([rng.choice(of, size=rng.integers(1, 40)), rng.integers(0, 40, size=rng.integers(0, 30))]), return_counts=True)
+        sets.append(words.astype(np.uint64) * np.uint64(7919))
+        counts.append(times)
+    index = toxicity.index_words(sets, counts, rng.integers(0, 2, n), (0.9, 0.1))
+    dense = np.zeros((n, len(index.keys)))
+    entry = np.repeat(np.arange(len(index.block)), np.diff(index.begin))
+    dense[index.example, np.searchsorted(index.entries, entry, side="right") - 1] = index.weight
+    assert np.allclose((dense**2).sum(1), 1, atol=1e-5)
+    found, opened = 0, []
+    for i in range(100):
+        h, times = np.append(sets[i], np.uint64(1)), np.append(counts[i], 3)  # a word that no example has
+        at = np.searchsorted(index.keys, h)
+        at = np.where(index.keys[np.minimum(at, len(index.keys) - 1)] == h, at, -1)
+        v = index.weights(at, times)
+        v = (v / np.linalg.norm(v))[at >= 0]
+        query = np.zeros(len(index.keys))
+        query[at[at >= 0]] = v
+        cosine = np.round(dense @ query, 6)
+        want = np.lexsort((np.arange(n), -cosine))[: toxicity.NEAREST]
+        want = want[cosine[want] >= toxicity.LEAST_COSINE]
+        best, score, n_open = index.nearest(at[at >= 0], v)
+        assert best.tolist() == want.tolist() and np.allclose(score, cosine[want], atol=1e-5)
+        found += len(want)
+        opened.append(n_open)
+    assert found > 100 and min(opened) < index.block.max() + 1
+
+
+def test_copies_of_examples_of_rare_words(spark):
+    rng = np.random.default_rng(2)
+    prose = lambda: " ".join(f"w{j}" for j in rng.integers(10**6, size=60)) + " and the of it"
+    rows = [(i, prose() + (" vile fool vile" if i % 4 == 0 else "")) for i in range(400)]
+    odd = next(i for i in range(1001, 1100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows.append((odd, prose()))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0 or i == odd)) for i, _ in rows], "doc_id long, toxic int")
+    index = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    clean = next(t for i, t in rows if i % 4 == 1 and i in index.names)
+    asked = [(1, rows[-1][1]), (2, rows[-1][1] + " w1 w2 w3"), (3, prose()), (4, clean), (5, prose() + " vile fool vile"), (6, None)]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), index).collect()}
+    assert [got[i].predicted for i in range(1, 7)] == [1, 1, 0, 0, 1, 0]
+    assert got[1].evidence[0].example == str(odd) and got[1].evidence[0].cosine == pytest.approx(1, abs=1e-4)
+    assert got[3].evidence == [] and got[3].score == got[6].score == index.alone
+
+
 # Near duplicates
 
 
