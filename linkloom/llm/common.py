@@ -32,19 +32,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (shared or f"{tempfile.gettempdir()}/linkloom-{uuid.uuid4().hex}").rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a copy in the shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is used. Spark frees the shuffle files of
-    plans that the driver has forgotten when the driver collects its garbage, so that is
-    asked for here: a loop of checkpoints then holds the disk of a step or two.
+    Spark frees the shuffle files of plans that the driver has forgotten when the driver
+    collects its garbage, so that is asked for here: a loop of checkpoints then holds the
+    disk of a step or two.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or f"{tempfile.gettempdir()}/linkloom-{uuid.uuid4().hex}")
+        context.setCheckpointDir(shared_folder(spark))
     out = df.checkpoint()
     gc.collect()
     spark._jvm.System.gc()

@@ -12,11 +12,13 @@ the empty string; an empty table gives an empty result; repeated rows each get a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from linkloom.llm.common import table
+from linkloom.llm.common import shared_folder, table
 
 #: Virtual slots; fixed for the life of a data set.
 N_SLOTS = 4096
@@ -87,6 +89,11 @@ def save_map(versions: list[DataFrame], path: str) -> None:
         version.write.mode("append").partitionBy("version").parquet(path)
 
 
+def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """A version of a stored map."""
+    return spark.read.schema("vslot int, shard int, version int").parquet(path).where(F.col("version") == version).select("version", "vslot", "shard")
+
+
 def shard(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text_column: str = "text", n_slots: int = N_SLOTS, placement: DataFrame | None = None, grown: DataFrame | None = None) -> DataFrame:
     """Each row's shard by a version of the map, its shard after growth, and its place in the shard.
 
@@ -119,4 +126,8 @@ def shard(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text_col
 
 
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(table(spark, sf_dir, "documents"), shards=16)
+    """Version 1 of the map and its edit for one more shard are stored in the shared folder and read back from there."""
+    path = f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    first = slot_map(spark, 16)
+    save_map([first, add_shard(first)], path)
+    return shard(table(spark, sf_dir, "documents"), 16, placement=load_map(spark, path, 1), grown=load_map(spark, path, 2))

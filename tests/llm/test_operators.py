@@ -418,6 +418,16 @@ def test_slot_maps(spark, real, tmp_path):
     assert spark.read.parquet(str(tmp_path / "map")).groupBy("version").count().count() == 3
 
 
+def test_stored_map_is_used(spark, sf, real, tmp_path):
+    first = sharding.slot_map(spark, 16)
+    path = str(tmp_path / "map")
+    sharding.save_map([first, sharding.add_shard(first)], path)
+    rows = lambda m: sorted(map(tuple, m.collect()))
+    assert rows(sharding.load_map(spark, path, 1)) == rows(first) and rows(sharding.load_map(spark, path, 2)) == rows(sharding.add_shard(first))
+    columns = ("doc_id", "size", "text_crc32", "shard", "slot", "grown_shard")
+    assert rows(sharding.op6_virtual_slots(spark, sf).select(*columns)) == rows(sharding.shard(real).select(*columns))
+
+
 # Packing
 
 
