@@ -55,10 +55,12 @@ def volumes(counts: DataFrame) -> DataFrame:
     return stats.crossJoin(pick(counts, "candidates", {"p95_candidates": nearest_rank(0.95)}))
 
 
-def evaluate(name: str, s1: DataFrame, truth: DataFrame, pairs: DataFrame) -> DataFrame:
+def evaluate(name: str, s1: DataFrame, truth: DataFrame, pairs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """One row: totals and recalls by source, full coverage, and candidate volumes.
 
     ``truth`` is (s1_id, match_id). Truth of other prefixes than S2 and S3 isn't counted.
+    ``counts``: (s1_id, candidates), where they are known without the pairs; of the pairs
+    only the true ones are needed then.
     """
     ids = s1.select(F.col("entity_id").alias("s1_id"))
     gt = truth.select("s1_id", "match_id").distinct().where("match_id rlike '^S[23]-'").join(ids, "s1_id", "left_semi")
@@ -82,7 +84,7 @@ def evaluate(name: str, s1: DataFrame, truth: DataFrame, pairs: DataFrame) -> Da
         _ratio(F.col("retrieved_s3"), F.col("true_s3")).alias("recall_s3"),
         _ratio(F.col("s1_covered"), F.col("s1_with_truth")).alias("full_coverage"),
     )
-    return rates.crossJoin(volumes(candidate_counts(s1, pairs)))  # two frames of one row
+    return rates.crossJoin(volumes(candidate_counts(s1, pairs) if counts is None else counts))  # two frames of one row
 
 
 def country_matches(s1: DataFrame, targets: DataFrame, truth: DataFrame) -> DataFrame:

@@ -39,6 +39,13 @@ def country_volumes(s1: DataFrame, t: DataFrame) -> DataFrame:
     return s1.join(counts, CC, "left").select(F.col("entity_id").alias("s1_id"), F.coalesce("_n", F.lit(0)).alias("candidates"))
 
 
+def true_country_pairs(s1: DataFrame, t: DataFrame, truth: DataFrame) -> DataFrame:
+    """The known matches (s1_id, match_id) that the country route finds."""
+    a = s1.select(F.col("entity_id").alias("s1_id"), F.col(CC).alias("cc")).where("cc <> ''")
+    b = t.select(F.col("entity_id").alias("cand_id"), F.col(CC).alias("cc"))
+    return truth.select("s1_id", F.col("match_id").alias("cand_id")).distinct().join(a, "s1_id").join(b, ["cand_id", "cc"]).select(*PAIR)
+
+
 def exact(column: str):
     """Equal, non-empty values of a column."""
 

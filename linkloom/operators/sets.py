@@ -44,6 +44,11 @@ def first_route(routes: list[tuple[str, DataFrame]]) -> DataFrame:
     return rows.groupBy(*PAIR).agg(F.min_by("route", "ord").alias("route"))
 
 
+def sampled(entities: DataFrame, n: int, seed: int = 42, key: str = "entity_id") -> DataFrame:
+    """n rows in the order of a hash of their id, whatever the order they come in."""
+    return entities.orderBy(F.md5(F.concat_ws(":", key, F.lit(seed)).cast("binary")), key).limit(n)
+
+
 def pooled(s2: DataFrame, s3: DataFrame, key: str = "entity_id") -> DataFrame:
     """Both target sources; of rows with one id, the second source's."""
     return s2.join(s3.select(key), key, "left_anti").select(*s2.columns).unionByName(s3)

@@ -151,7 +151,7 @@ _add(
 _add("country_volumes", lambda s, d: routes.country_volumes(*sides(s, d)), "SELECT entity_id AS s1_id, coalesce(n, 0) AS candidates FROM s1 LEFT JOIN (SELECT country_cleaned, count(*) AS n FROM tg WHERE country_cleaned <> '' GROUP BY 1) USING (country_cleaned)")
 
 # Evaluation
-_EVALUATED = ["country_name_cleaned", "country_name_alphanumeric", "token_overlap_1", "token_overlap_2", "rare_tokens_500", "numeric_equal", "addr_words", "house_number"]
+_EVALUATED = ["country_name_cleaned", "country_name_alphanumeric", "token_overlap_1", "token_overlap_2", "token_overlap_2_maxdf5k", "rare_tokens_500", "name_3gram_top5", "numeric_equal", "numeric_any", "addr_words", "addr_similarity", "house_number"]
 _DIFFERENT = ["country_name_cleaned", "country_name_alphanumeric", "token_overlap_2", "addr_alphanumeric"]
 
 
@@ -161,7 +161,24 @@ def evaluated(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 for _name in _EVALUATED:
-    _add(f"evaluate_{_name}", partial(evaluated, _name), O.evaluate(_name, _ROUTE_SQL[_name]))
+    _add(f"evaluate_{_name}", partial(evaluated, _name), O.evaluate(_name, f"SELECT s1_id, cand_id FROM ({_ROUTE_SQL[_name]}) rr"))
+
+
+def evaluated_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The country route's metrics without its pairs."""
+    (s1, targets), truth = sides(spark, sf_dir), views.truth(spark, sf_dir)
+    return E.evaluate("country_only", s1, truth, routes.true_country_pairs(s1, targets, truth), routes.country_volumes(s1, targets))
+
+
+def evaluated_union(names: tuple[str, str], spark: SparkSession, sf_dir: str) -> DataFrame:
+    s1, targets = sides(spark, sf_dir)
+    return E.evaluate("+".join(names), s1, views.truth(spark, sf_dir), S.union_of(names[0], routes.ROUTES[names[0]](s1, targets), names[1], routes.ROUTES[names[1]](s1, targets)))
+
+
+_add("evaluate_country_only", evaluated_country, O.evaluate("country_only", _ROUTE_SQL["country_only"]))
+for _names in (("country_name_cleaned", "country_name_alphanumeric"), ("country_name_alphanumeric", "token_overlap_2_maxdf5k")):
+    _add(f"evaluate_union_{_names[0].removeprefix('country_')}_{_names[1].removeprefix('country_')}", partial(evaluated_union, _names), O.evaluate("+".join(_names), f"({_ROUTE_SQL[_names[0]]}) UNION ({_ROUTE_SQL[_names[1]]})"))
+_add("sampled_entities", lambda s, d: S.sampled(sides(s, d)[0], 100).select("entity_id", "name_cleaned"), "SELECT entity_id, name_cleaned FROM s1 ORDER BY md5(entity_id || ':42'), entity_id LIMIT 100")
 
 
 def _routes_of(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:

@@ -5,7 +5,7 @@ import pytest
 
 from linkloom.plans import catalogue
 
-FAST = ["norm_part", "norm_documents", "address_fields", "name_transforms", "address_transforms", "route_token_overlap_2", "route_name_3gram_top5", "route_numeric_any", "route_addr_similarity", "route_contribution", "features31", "hard_negatives", "discrimination", "experiment_examples", "experiments_name", "route_house_number", "frequency_statistics", "quantiles", "profile_documents"]
+FAST = ["norm_part", "norm_documents", "address_fields", "name_transforms", "address_transforms", "route_token_overlap_2", "route_name_3gram_top5", "route_numeric_any", "route_addr_similarity", "route_contribution", "features31", "hard_negatives", "discrimination", "experiment_examples", "experiments_name", "route_house_number", "evaluate_country_only", "evaluate_union_name_alphanumeric_token_overlap_2_maxdf5k", "sampled_entities", "frequency_statistics", "quantiles", "profile_documents"]
 
 
 def plain(df):
