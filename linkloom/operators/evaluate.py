@@ -127,9 +127,9 @@ def _true_rows(routes: list[tuple[str, DataFrame]], truth: DataFrame) -> DataFra
 def route_contribution(routes: list[tuple[str, DataFrame]], truth: DataFrame) -> DataFrame:
     """Per route: true pairs found, those found by no other, shared ones, those first found by it, recall."""
     names = truth.sparkSession.createDataFrame([(n, i) for i, (n, _) in enumerate(routes)], "route string, ord int")
-    rows = _true_rows(routes, truth)
-    pairs = rows.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("_routes"), F.min("ord").alias("_first"))
-    marked = rows.join(pairs, PAIR)
+    # a pair's routes are at most the routes given; each route is computed once
+    lists = _true_rows(routes, truth).groupBy(*PAIR).agg(F.collect_set("ord").alias("_ords"))
+    marked = lists.select(F.explode("_ords").alias("ord"), F.size("_ords").alias("_routes"), F.array_min("_ords").alias("_first"))
     per = marked.groupBy("ord").agg(F.count(F.lit(1)).alias("total"), F.sum((F.col("_routes") == 1).cast("long")).alias("unique_pairs"), F.sum((F.col("ord") == F.col("_first")).cast("long")).alias("marginal"))
     size = truth.agg(F.count(F.lit(1)).alias("_gt"))  # before removing repeats
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
@@ -140,11 +140,10 @@ def route_contribution(routes: list[tuple[str, DataFrame]], truth: DataFrame) ->
 
 def union_contribution(routes: list[tuple[str, DataFrame]], truth: DataFrame) -> DataFrame:
     """One row: true pairs, those that any route found, recall of the union, and its candidates."""
-    union = candidate_union([f for _, f in routes])
-    hit = union.join(truth.select("s1_id", F.col("match_id").alias("cand_id")).distinct(), PAIR).agg(F.count(F.lit(1)).alias("retrieved"))
+    known = truth.select("s1_id", F.col("match_id").alias("cand_id")).distinct().withColumn("_t", F.lit(1))
+    found = candidate_union([f for _, f in routes]).join(known, PAIR, "left").agg(F.count("_t").alias("retrieved"), F.count(F.lit(1)).alias("candidate_pairs"))
     sizes = truth.agg(F.count(F.lit(1)).alias("total_gt"))
-    pairs = union.agg(F.count(F.lit(1)).alias("candidate_pairs"))
-    return sizes.crossJoin(hit).crossJoin(pairs).select("total_gt", "retrieved", _ratio(F.col("retrieved"), F.col("total_gt")).alias("recall"), "candidate_pairs")
+    return sizes.crossJoin(found).select("total_gt", "retrieved", _ratio(F.col("retrieved"), F.col("total_gt")).alias("recall"), "candidate_pairs")
 
 
 def route_overlap(routes: list[tuple[str, DataFrame]], truth: DataFrame) -> DataFrame:

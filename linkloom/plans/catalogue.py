@@ -22,7 +22,7 @@ from linkloom.operators import routes
 from linkloom.operators import sets as S
 from linkloom.plans import oracle as O
 from linkloom.plans import views
-from linkloom.plans.entities import address_records, normalized, split_sources
+from linkloom.plans.entities import address_records, normalized, split_sources, stored
 from linkloom.sources.tables import matching_results
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def sides(spark: SparkSession, sf_dir: str, view: str = "part") -> tuple[DataFra
     return split_sources(entities(spark, sf_dir, view))
 
 
+def stored_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``sides`` for queries of several routes: normalized once."""
+    return split_sources(stored(normalized(views.raw(spark, sf_dir, "part")).drop("business_name", "business_address", "country", "name_no_accents", "addr_no_accents")))
+
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -171,7 +176,7 @@ def evaluated_country(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluated_union(names: tuple[str, str], spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, targets = sides(spark, sf_dir)
+    s1, targets = stored_sides(spark, sf_dir)
     return E.evaluate("+".join(names), s1, views.truth(spark, sf_dir), S.union_of(names[0], routes.ROUTES[names[0]](s1, targets), names[1], routes.ROUTES[names[1]](s1, targets)))
 
 
@@ -182,7 +187,7 @@ _add("sampled_entities", lambda s, d: S.sampled(sides(s, d)[0], 100).select("ent
 
 
 def _routes_of(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
-    s1, targets = sides(spark, sf_dir)
+    s1, targets = stored_sides(spark, sf_dir)
     return [(n, routes.ROUTES[n](s1, targets)) for n in _DIFFERENT]
 
 
@@ -191,8 +196,8 @@ _TRUE = f"SELECT t.* FROM ({_TAGGED}) t JOIN (SELECT DISTINCT s1_id, match_id FR
 _UNION = f"SELECT DISTINCT s1_id, cand_id FROM ({_TAGGED}) t"
 _add("route_union", lambda s, d: S.candidate_union([f for _, f in _routes_of(s, d)]), _UNION)
 _add("first_route", lambda s, d: S.first_route(_routes_of(s, d)), f"SELECT s1_id, cand_id, arg_min(route, ord) AS route FROM ({_TAGGED}) GROUP BY s1_id, cand_id")
-_add("pairs_without", lambda s, d: S.pairs_without(_routes_of(s, d)[2][1], _routes_of(s, d)[1][1]), f"({_ROUTE_SQL[_DIFFERENT[2]]}) EXCEPT ({_ROUTE_SQL[_DIFFERENT[1]]})")
-_add("shared_pairs", lambda s, d: S.shared_pairs(_routes_of(s, d)[0][1], _routes_of(s, d)[1][1]), f"({_ROUTE_SQL[_DIFFERENT[0]]}) INTERSECT ({_ROUTE_SQL[_DIFFERENT[1]]})")
+_add("pairs_without", lambda s, d: (lambda r: S.pairs_without(r[2][1], r[1][1]))(_routes_of(s, d)), f"({_ROUTE_SQL[_DIFFERENT[2]]}) EXCEPT ({_ROUTE_SQL[_DIFFERENT[1]]})")
+_add("shared_pairs", lambda s, d: (lambda r: S.shared_pairs(r[0][1], r[1][1]))(_routes_of(s, d)), f"({_ROUTE_SQL[_DIFFERENT[0]]}) INTERSECT ({_ROUTE_SQL[_DIFFERENT[1]]})")
 _add(
     "route_contribution",
     lambda s, d: E.route_contribution(_routes_of(s, d), views.truth(s, d)),
@@ -233,7 +238,7 @@ _add("matching_results", lambda s, d: matching_results(route_pairs("country_name
 
 # Features
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, targets = sides(spark, sf_dir)
+    s1, targets = stored_sides(spark, sf_dir)
     return P.pair_features(S.first_route([(n, routes.ROUTES[n](s1, targets)) for n in _DIFFERENT]), s1, targets)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,18 @@ def address_records(entities: DataFrame) -> DataFrame:
     )
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Rows that several routes read, computed once: a checkpoint in the folder that the session names.
+
+    Only where ``spark.checkpoint.dir`` is unset (one machine) a temporary folder is used.
+    """
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or f"{tempfile.gettempdir()}/linkloom-{uuid.uuid4().hex}")
+    return df.checkpoint()
+
+
 def source_of(column: str = "entity_id"):
     """The source named by the id's prefix."""
     return F.substring_index(F.col(column), "-", 1)
