@@ -40,6 +40,8 @@ LIMIT, NEAREST, BLOCK, PREFIXES, CHI2, MIN_TEXTS, MAX_TERMS, THRESHOLD = 1500, 1
 LEAST_COSINE = 0.5
 #: Equal min-hashes, of 24, that make two examples near copies.
 ALIKE = 12
+#: Texts that are tried against all examples at once.
+SIDE = 128
 #: Blocks that are opened before any bound is tested.
 FIRST_BLOCKS = 3
 #: A mark for terms that a text holds so many times, and for those held twice or more at so many a thousand words.
@@ -134,6 +136,24 @@ class WordIndex:
         """TF-IDF of words by their places, -1 for unseen ones."""
         return (1 + np.log(counts)) * np.where(at >= 0, self.idf[at] if len(self.idf) else self.unseen, self.unseen)
 
+    def hopeful(self, text: np.ndarray, at: np.ndarray, v: np.ndarray, least: float = LEAST_COSINE) -> np.ndarray:
+        """Which texts, by number, may have an example with a cosine of ``least`` or more.
+
+        The words of a text whose weights have a norm of less than half of ``least`` together,
+        the lightest ones, can't give the other half; so the heavier ones must, and only their
+        postings, which are few, are added up. ``text`` ascends from 0.
+        """
+        n = int(text[-1]) + 1 if len(text) else 0
+        order = np.lexsort((-v, text))
+        text, at, v = text[order], at[order], v[order]
+        upto = np.cumsum(v * v)
+        ends = np.searchsorted(text, np.arange(n), side="right")
+        heavy = (upto[ends - 1][text] - upto + v * v >= (least / 2 - 1e-6) ** 2) if n else np.empty(0, bool)
+        text, at, v = text[heavy], at[heavy], v[heavy]
+        posts, size = _ranges(self.begin[self.entries[at]], self.begin[self.entries[at + 1]])
+        total = np.bincount(np.repeat(text, size) * len(self.mass) + self.example[posts], np.repeat(v, size) * self.weight[posts], n * len(self.mass))
+        return (total.reshape(n, -1) >= least / 2 - 1e-6).any(axis=1)
+
     def nearest(self, at: np.ndarray, v: np.ndarray, k: int = NEAREST, least: float = LEAST_COSINE) -> tuple[np.ndarray, np.ndarray, int]:
         """(examples, cosines, blocks opened) of the exact k nearest with a cosine of ``least`` or more.
 
@@ -412,9 +432,14 @@ def _scorer(shared):
         seen = np.sqrt(np.bincount(text[at >= 0], (v * v)[at >= 0], len(p)))
         use = (at >= 0) & (seen >= LEAST_COSINE - 1e-6)[text]  # other texts can't be so close to any example
         text, at, v = text[use], at[use], v[use]
-        cuts = [*np.flatnonzero(text[1:] != text[:-1]) + 1, len(text)] if len(text) else []
-        for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
-            best, cosine, _ = own.words.nearest(at[a:b], v[a:b])
+        cuts = np.append(np.flatnonzero(text[1:] != text[:-1]) + 1, len(text)) if len(text) else np.empty(0, np.int64)
+        starts = np.append(0, cuts)[:-1]
+        found = [False] * len(cuts)
+        for i in range(0, len(cuts), SIDE):
+            a, b = starts[i], cuts[min(i + SIDE, len(cuts)) - 1]
+            found[i : i + SIDE] = own.words.hopeful(np.unique(text[a:b], return_inverse=True)[1], at[a:b], v[a:b])
+        for a, b, some in zip(starts.tolist(), cuts.tolist(), found, strict=True):
+            best, cosine, _ = own.words.nearest(at[a:b], v[a:b]) if some else ((), (), 0)
             if len(best):
                 p[text[a]], evidence[text[a]] = own.word_vote(best, cosine), proof(best, cosine)
 

@@ -311,6 +311,7 @@ def test_nearest_over_all_words_is_exact():
         want = want[cosine[want] >= toxicity.LEAST_COSINE]
         best, score, n_open = index.nearest(at[at >= 0], v)
         assert best.tolist() == want.tolist() and np.allclose(score, cosine[want], atol=1e-5)
+        assert index.hopeful(np.zeros(len(v), np.int64), at[at >= 0], v).tolist() in ([True], [len(want) > 0])
         found += len(want)
         opened.append(n_open)
     assert found > 100 and min(opened) < index.block.max() + 1
