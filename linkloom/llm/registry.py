@@ -32,4 +32,4 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_adaptive_prefix_join": oracles.OP5}
+    return {"op5_adaptive_prefix_join": oracles.OP5, "op6_virtual_slots": oracles.OP6}

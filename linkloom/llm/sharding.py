@@ -112,7 +112,7 @@ def shard(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text_col
         F.crc32(text.cast("binary")).alias("text_crc32"),
         virtual_slot(id_column, n_slots).alias("virtual_slot"),
     )
-    part = F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(N_PARTS)).cast("int")
+    part = (_spread(F.concat_ws(":", "doc_id", "size", "text_crc32").cast("binary")) % N_PARTS).cast("int")
     rows = rows.withColumn("_part", part)
     parts = rows.groupBy("virtual_slot", "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_b"))
     parts = parts.join(F.broadcast(maps), parts["virtual_slot"] == maps["vslot"]).drop("vslot")

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontaminate, html, jaccard, licenses, media, packing, quality, sharding, toxicity, urls
+from linkloom.llm import decontaminate, html, jaccard, licenses, media, packing, quality, registry, sharding, toxicity, urls
 from linkloom.llm import kernels as K
 
 LONG = " ".join(f"word{i % 977} und{i % 31}" for i in range(30_000))
@@ -429,6 +429,19 @@ def test_stored_map_is_used(spark, sf, real, tmp_path):
     assert rows(sharding.op6_virtual_slots(spark, sf).select(*columns)) == rows(sharding.shard(real).select(*columns))
 
 
+@pytest.mark.parametrize("name", ["op5_adaptive_prefix_join", "op6_virtual_slots"])
+def test_sql_says_the_same(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want, got = con.sql(registry.oracle_sql()[name]), registry.queries()[name](spark, sf)
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    rows = lambda found: sorted(found, key=str)
+    assert rows(map(tuple, got.select(*columns).collect())) == rows(want.select(", ".join(columns)).fetchall())
+
+
 # Packing
 
 
