@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import kernels as K
-from linkloom.llm.common import fold, labelled, mapped, table
+from linkloom.llm.common import fold, give_back, labelled, mapped, table
 
 #: Labelled texts a class at most; least texts with a feature; features at most; threshold.
 LIMIT, MIN_TEXTS, MAX_FEATURES, THRESHOLD = 2000, 4, 1 << 17, 0.7
@@ -188,6 +188,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_column
     """(doc_id, score, predicted) of every row."""
     kind = docs.schema[id_column].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES features
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = _scorer(shared)
@@ -201,6 +202,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_column
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
     """The rows, with all their columns, whose score reaches the threshold."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_column)
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = _scorer(shared)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import kernels as K
-from linkloom.llm.common import checkpointed, fold, labelled, mapped, table
+from linkloom.llm.common import checkpointed, fold, give_back, labelled, mapped, table
 from linkloom.llm.quality import calibrate
 
 #: Labelled texts a class at most; neighbours; examples in a block; bytes of word beginnings;
@@ -40,8 +40,8 @@ LIMIT, NEAREST, BLOCK, PREFIXES, CHI2, MIN_TEXTS, MAX_TERMS, THRESHOLD = 1500, 1
 LEAST_COSINE = 0.5
 #: Equal min-hashes, of 24, that make two examples near copies.
 ALIKE = 12
-#: Texts that are tried against all examples at once.
-SIDE = 128
+#: Texts that are tried against all examples at once, and postings that are added up at once.
+SIDE, POSTINGS = 128, 1 << 19
 #: Blocks that are opened before any bound is tested.
 FIRST_BLOCKS = 3
 #: A mark for terms that a text holds so many times, and for those held twice or more at so many a thousand words.
@@ -150,9 +150,19 @@ class WordIndex:
         ends = np.searchsorted(text, np.arange(n), side="right")
         heavy = (upto[ends - 1][text] - upto + v * v >= (least / 2 - 1e-6) ** 2) if n else np.empty(0, bool)
         text, at, v = text[heavy], at[heavy], v[heavy]
-        posts, size = _ranges(self.begin[self.entries[at]], self.begin[self.entries[at + 1]])
-        total = np.bincount(np.repeat(text, size) * len(self.mass) + self.example[posts], np.repeat(v, size) * self.weight[posts], n * len(self.mass))
-        return (total.reshape(n, -1) >= least / 2 - 1e-6).any(axis=1)
+        lo, hi = self.begin[self.entries[at]], self.begin[self.entries[at + 1]]
+        ends = np.searchsorted(text, np.arange(n + 1))
+        upto = np.append(0, np.cumsum(hi - lo, dtype=np.int64))[ends]
+        out, first = np.zeros(n, bool), 0
+        while first < n:  # as many texts at once as SIDE and POSTINGS let, one at least
+            last = max(first + 1, min(first + SIDE, int(np.searchsorted(upto, upto[first] + POSTINGS, side="right")) - 1))
+            part = slice(ends[first], ends[last])
+            posts, size = _ranges(lo[part], hi[part])
+            cell = np.repeat(text[part] - first, size) * len(self.mass) + self.example[posts]
+            total = np.bincount(cell, np.repeat(v[part], size) * self.weight[posts], (last - first) * len(self.mass))
+            out[first:last] = (total.reshape(last - first, -1) >= least / 2 - 1e-6).any(axis=1)
+            first = last
+        return out
 
     def nearest(self, at: np.ndarray, v: np.ndarray, k: int = NEAREST, least: float = LEAST_COSINE) -> tuple[np.ndarray, np.ndarray, int]:
         """(examples, cosines, blocks opened) of the exact k nearest with a cosine of ``least`` or more.
@@ -370,7 +380,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     """An index of at most ``limit`` labelled texts a class, none of the held-out fold.
 
     Document frequencies are counted in Spark; the driver sees the terms that enough
-    examples have, and of the examples the chosen terms and the distinct words.
+    examples have, and of the examples the chosen terms, or the distinct words where none is.
     """
     picked = labelled(docs, labels, label, limit, id_column, text_column).select("_id", "text", "y")
     kind = picked.schema["_id"].dataType.simpleString()
@@ -399,7 +409,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
             flat, n = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
             ok = find.find(flat.view(np.uint64)) >= 0
             own = np.bincount(np.repeat(np.arange(len(size)), size)[ok], minlength=len(size))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), K.list_array(flat[ok], own, pa.int64()), K.list_array(n[ok], own, pa.int32()), batch.column(4), batch.column(5)], names=["_id", "y", "terms", "counts", "words", "times"])
+            bare = own == 0  # of the others the words aren't needed
+            inside = np.repeat(bare, np.diff(batch.column(4).offsets.to_numpy()))
+            lists = [K.list_array(flat[ok], own, pa.int64()), K.list_array(n[ok], own, pa.int32())]
+            lists += [K.list_array(batch.column(i).flatten().to_numpy(zero_copy_only=False)[inside], np.where(bare, np.diff(batch.column(i).offsets.to_numpy()), 0), k) for i, k in ((4, pa.int64()), (5, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["_id", "y", "terms", "counts", "words", "times"])
 
     few = mapped(rows.select("_id", "y", "terms", "counts", "words", "times"), restrict, f"_id {kind}, y int, terms array<long>, counts array<int>, words array<long>, times array<int>").toArrow().sort_by("_id")
     sets, counts, words, times = ([np.asarray(x.values) for x in few[c]] for c in ("terms", "counts", "words", "times"))
@@ -407,9 +421,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     index = assemble(keys, plain[chosen].view(np.uint64), df[chosen].astype(float), [s.view(np.uint64) for s in sets], counts, few["y"].to_numpy().astype(np.int64), names, shares)
     place = {name: i for i, name in enumerate(names)}
     order = [place[name] for name in index.names]
-    bare = np.bincount(index.example, minlength=len(order)) == 0
-    words, times = ([x[i] if b else x[i][:0] for i, b in zip(order, bare, strict=True)] for x in (words, times))
-    index.words = index_words([w.view(np.uint64) for w in words], times, index.toxic, shares)
+    index.words = index_words([words[i].view(np.uint64) for i in order], [times[i] for i in order], index.toxic, shares)
     return index
 
 
@@ -434,10 +446,7 @@ def _scorer(shared):
         text, at, v = text[use], at[use], v[use]
         cuts = np.append(np.flatnonzero(text[1:] != text[:-1]) + 1, len(text)) if len(text) else np.empty(0, np.int64)
         starts = np.append(0, cuts)[:-1]
-        found = [False] * len(cuts)
-        for i in range(0, len(cuts), SIDE):
-            a, b = starts[i], cuts[min(i + SIDE, len(cuts)) - 1]
-            found[i : i + SIDE] = own.words.hopeful(np.unique(text[a:b], return_inverse=True)[1], at[a:b], v[a:b])
+        found = own.words.hopeful(np.repeat(np.arange(len(cuts)), cuts - starts), at, v)
         for a, b, some in zip(starts.tolist(), cuts.tolist(), found, strict=True):
             best, cosine, _ = own.words.nearest(at[a:b], v[a:b]) if some else ((), (), 0)
             if len(best):
@@ -473,6 +482,7 @@ def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD, id_column
     """(doc_id, score, predicted, evidence) of every row; evidence: the nearest examples."""
     kind = docs.schema[id_column].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_TERMS and the words of 2 * LIMIT examples
+    give_back()
     proof = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -488,6 +498,7 @@ def score(docs: DataFrame, index: Index, threshold: float = THRESHOLD, id_column
 def harmless(docs: DataFrame, index: Index, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
     """The rows, with all their columns, whose score stays below the threshold."""
     shared, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text_column)
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = _scorer(shared)

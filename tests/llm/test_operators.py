@@ -317,6 +317,23 @@ def test_nearest_over_all_words_is_exact():
     assert found > 100 and min(opened) < index.block.max() + 1
 
 
+def test_bulk_filter_in_small_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(1, 60, size=rng.integers(1, 20))).astype(np.uint64) for _ in range(80)]
+    index = toxicity.index_words(sets, [np.ones(len(s), np.int64) for s in sets], np.arange(80) % 2, (0.5, 0.5))
+    asked = [np.unique(rng.integers(0, len(index.keys), size=rng.integers(1, 9))) for _ in range(50)]
+    text, at = np.repeat(np.arange(50), [len(a) for a in asked]), np.concatenate(asked)
+    v = rng.random(len(at))
+    v /= np.sqrt(np.bincount(text, v * v))[text] * rng.uniform(1, 2, 50)[text]
+    near = [len(index.nearest(a, v[text == i])[0]) > 0 for i, a in enumerate(asked)]
+    whole = index.hopeful(text, at, v)
+    assert all(whole[np.flatnonzero(near)]) and any(near)
+    for side, postings in ((1, 1), (7, 40), (50, 1 << 20)):
+        monkeypatch.setattr(toxicity, "SIDE", side)
+        monkeypatch.setattr(toxicity, "POSTINGS", postings)
+        assert index.hopeful(text, at, v).tolist() == whole.tolist()
+
+
 def test_copies_of_examples_of_rare_words(spark):
     rng = np.random.default_rng(2)
     prose = lambda: " ".join(f"w{j}" for j in rng.integers(10**6, size=60)) + " and the of it"
