@@ -41,6 +41,8 @@ WORDS, NUM, DEN, MOST_MATCHES, VERIFY_COST = 5, 3, 4, 4, 20.0
 SHARE, LEAST_BITS, MOST_BITS, SEGMENTS = 64, 10, 26, 64
 #: Nodes in a bucket that is expanded at once; test nodes of a large one's first round, and their growth.
 SMALL, FIRST_HUBS, GROWTH = 64, 64, 8
+#: Plain rows of nodes or edges that are worth a partition, and so a file of a checkpoint.
+WORTH = 20_000
 
 _U = np.uint64
 
@@ -293,16 +295,22 @@ def sets_of(docs: DataFrame, nodes: DataFrame, count: int, words: int = WORDS) -
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The pairs (x, y) whose whole sets link."""
-    nodes = checkpointed(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct())
-    count = nodes.count()
-    if not count:
+    n = pairs.count()
+    if not n:
         return pairs.limit(0)
+    nodes = checkpointed(_few(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct(), 2 * n))
+    count = nodes.count()
     sets = sets_of(docs, nodes, count, words)
     both = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("_x")), "x").join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("_y")), "y")
     inter = F.size(F.array_intersect("_x", "_y"))
     return both.where(DEN * inter >= NUM * (F.size("_x") + F.size("_y") - inter)).select("x", "y")
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has at most so many rows, in no more partitions than they are worth."""
+    return df.coalesce(1 + rows // WORTH)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of the nodes of the edges (x, y), by alternating large and small stars."""
     edges = checkpointed(edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
@@ -318,7 +326,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy(F.col("x").alias("u")).agg(F.min("y").alias("m"))
         small = large.join(least, F.col("x") == F.col("u"))
         small = small.where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).union(least.select("u", "m")).distinct()
-        edges = checkpointed(small)
+        edges = checkpointed(_few(small, 2 * now[0]))
 
 
 def node_components(docs: DataFrame, shingles: int, words: int = WORDS) -> DataFrame:
