@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions import similarity as M
 from linkloom.functions import text as T
+from linkloom.plans.entities import stored
 
 BASELINE = "A_current"
 #: Most non-matches that an experiment draws.
@@ -25,33 +28,48 @@ def _digest(c: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", c, F.lit(seed)).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
-def hard_negatives(s1: DataFrame, targets: DataFrame, truth: DataFrame, n: int | None = None, seed: int = 42, buckets: int = 64) -> DataFrame:
+def hard_negatives(s1: DataFrame, targets: DataFrame, truth: DataFrame, n: int | None = None, seed: int = 42, buckets: int = 64, cell: int = 16) -> DataFrame:
     """At most n non-matches, one for an S1 entity, of the same country: the pairs of least hash.
 
-    Each entity draws from the targets of one hash bucket of its country, so the join is
-    a fraction of the country product. Entities whose bucket holds no non-match draw from
-    the country's first targets by hash, one more than the most matches of an entity: one
-    of those is no match unless the country has no other. A pair's hash is the exclusive or
-    of its entities'. Without n, the least of ``MOST_NEGATIVES`` and the number of true pairs.
+    The n entities of least hash that have a non-match draw from the targets of one hash
+    bucket of their country. Those whose bucket holds no non-match draw from the country's
+    first targets by hash, one more than the most matches of an entity: one of those is no
+    match unless the country has no other. A pair's hash is the exclusive or of its
+    entities'. Without n, the least of ``MOST_NEGATIVES`` and the number of true pairs.
+
+    The least pair shares the longest beginning of the hash, so an entity first meets only
+    the targets that begin like it, about ``cell`` of them, and the whole bucket only where
+    these hold no non-match. Entities are chosen before they meet targets, which are then
+    scanned in place beside at most n entities.
     """
     pairs = truth.select("s1_id", "match_id").distinct()
     if n is None:
         n = min(MOST_NEGATIVES, pairs.join(s1.select(F.col("entity_id").alias("s1_id")).distinct(), "s1_id", "left_semi").join(targets.select(F.col("entity_id").alias("match_id")).distinct(), "match_id", "left_semi").count())
     a = s1.where("country_cleaned <> ''").select(F.col("entity_id").alias("s1_id"), F.col("country_cleaned").alias("cc"), _digest(F.col("entity_id"), seed).alias("_ha"))
     b = targets.select(F.col("entity_id").alias("match_id"), F.col("country_cleaned").alias("cc"), _digest(F.col("entity_id"), seed).alias("_hb"))
-    a, b = a.withColumn("_b", F.col("_ha") % buckets), b.withColumn("_b", F.col("_hb") % buckets)
+    most = pairs.groupBy("s1_id").count().agg(F.max("count")).first()[0] or 0  # a literal, so that Spark cuts before it sorts a country
+    few = b.withColumn("_r", F.dense_rank().over(W.partitionBy("cc").orderBy("_hb", "match_id"))).where(F.col("_r") <= most + 1).select("match_id", "cc", "_hb").distinct()
+    own = pairs.join(few.select("match_id", "cc"), "match_id").groupBy("s1_id", "cc").agg(F.count(F.lit(1)).alias("_own"))
+    able = a.join(few.groupBy("cc").agg(F.count(F.lit(1)).alias("_few")), "cc").join(own, ["s1_id", "cc"], "left").where(F.col("_few") > F.coalesce("_own", F.lit(0)))
+    chosen = able.groupBy("s1_id").agg(F.min("_ha").alias("_ha"), F.collect_set("cc").alias("_cc")).orderBy("_ha", "s1_id").limit(n)
+    chosen = stored(chosen.select("s1_id", "_ha", F.explode("_cc").alias("cc")).withColumn("_b", F.col("_ha") % buckets))
+    small = F.broadcast if n <= MOST_NEGATIVES else lambda x: x
+    counts = b.join(small(chosen.select("cc").distinct()), "cc", "left_semi").groupBy("cc").agg(F.count(F.lit(1)).alias("_n"))
+    bits = stored(counts.select("cc", F.greatest(F.lit(0), F.floor(F.log2(F.col("_n") / (buckets * cell)))).cast("int").alias("_bits")))
+    begin = lambda h: F.expr(f"shiftright({h}, 52 - _bits)").alias("_cell")
+    b = b.withColumn("_b", F.col("_hb") % buckets)
     order = F.struct(F.col("_ha").bitwiseXOR(F.col("_hb")), "match_id")
 
     def drawn(candidates: DataFrame) -> DataFrame:
         return candidates.join(pairs, ["s1_id", "match_id"], "left_anti").groupBy("s1_id").agg(F.min_by("match_id", order).alias("match_id"), F.min("_ha").alias("_ha"))
 
-    one = drawn(a.join(b, ["cc", "_b"]))
-    if n and buckets > 1:
-        most = pairs.groupBy("s1_id").count().agg(F.max("count")).first()[0] or 0  # a literal, so that Spark cuts before it sorts a country
-        first = F.row_number().over(W.partitionBy("cc").orderBy("_hb", "match_id"))
-        few = b.select("match_id", "cc", "_hb").distinct().withColumn("_r", first).where(F.col("_r") <= most + 1).select("match_id", "cc", "_hb")
-        one = one.unionByName(drawn(a.join(one, "s1_id", "left_anti").join(few, "cc")))
-    return one.orderBy("_ha", "s1_id").limit(n).select("s1_id", "match_id")
+    def left(*found: DataFrame) -> DataFrame:
+        return reduce(lambda x, y: x.join(y, "s1_id", "left_anti"), found, chosen)
+
+    near = stored(drawn(b.join(small(bits), "cc").select("match_id", "cc", "_hb", "_b", begin("_hb")).join(small(chosen.join(bits, "cc").select("s1_id", "_ha", "cc", "_b", begin("_ha"))), ["cc", "_b", "_cell"])))
+    far = stored(drawn(b.join(small(left(near)), ["cc", "_b"])))
+    rest = drawn(left(near, far).join(few, "cc"))
+    return near.unionByName(far).unionByName(rest).orderBy("_ha", "s1_id").select("s1_id", "match_id")
 
 
 def _scores(a: Column, b: Column, numbers: bool) -> dict[str, Column]:
@@ -98,8 +116,6 @@ def examples(rows: DataFrame, metric: str = "jaccard", by: float = 0.05, limit:
     """The first pairs that each transform helps or hurts by more than ``by``."""
     gain = F.col("score") - F.col("baseline")
     kind = F.when(gain > by, "help").when(gain < -by, "hurt")
-    from pyspark.sql import Window as W
-
     first = F.row_number().over(W.partitionBy("experiment", "kind").orderBy("s1_id", "match_id"))
     return rows.where(F.col("metric") == metric).withColumn("kind", kind).where("kind is not null").withColumn("_r", first).where(F.col("_r") <= limit).select("experiment", "kind", "s1_id", "match_id", gain.alias("gain"))
 

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,24 @@ def test_streams(spark, tmp_path):
     q = N.write_stream(N.candidates_stream(stream.where("entity_id like 'S1-%'"), targets), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("S1-1", "S2-1")]
+
+
+def test_hard_negatives_are_the_nearest_of_their_bucket(spark):
+    """Chosen entities, short hash beginnings and whole buckets give what a look at every pair does."""
+    rows = [(f"S1-{i}", "x" if i % 3 else "y") for i in range(60)] + [(f"S2-{i}", "x" if i % 4 else "y") for i in range(90)] + [("S1-0", "y"), ("S2-1", "x"), ("S1-99", ""), ("S1-98", "z")]
+    frame = spark.createDataFrame(rows, "entity_id string, country_cleaned string")
+    links = [(f"S1-{i}", f"S2-{j}") for i in range(0, 60, 5) for j in range(i % 7, 90, 11)] + [("S1-3", "S2-4")] * 2
+    truth = spark.createDataFrame(links, "s1_id string, match_id string")
+    digest = lambda e: int(hashlib.md5(f"{e}:42".encode()).hexdigest()[:13], 16)
+    most = max(len({m for a, m in links if a == s}) for s, _ in links)
+    for n, buckets, cell in ((200, 8, 1), (200, 1, 4), (20, 64, 1)):
+        want = []
+        for s, c in set(rows):
+            pool = sorted({(digest(t), t) for t, d in rows if t[1] == "2" and d == c})
+            free = [(h ^ digest(s), t) for h, t in pool if (s, t) not in set(links)]
+            near = [x for x in free if (x[0] ^ digest(s)) % buckets == digest(s) % buckets]
+            first = [x for x in free if (x[0] ^ digest(s), x[1]) in pool[: most + 1]]
+            if s[1] == "1" and c and (near or first):
+                want.append((digest(s), s, min(near or first)[1]))
+        got = X.hard_negatives(frame.where("entity_id like 'S1%'"), frame.where("entity_id like 'S2%'"), truth, n, buckets=buckets, cell=cell)
+        assert sorted(map(tuple, got.collect())) == sorted((s, t) for _, s, t in sorted(want)[:n])
