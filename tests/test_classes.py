@@ -4,7 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.operators import classes as K
+from linkloom.operators import evaluate as E
+from linkloom.operators import experiments as X
+from linkloom.operators import pairs as P
 from linkloom.operators import routes
+from linkloom.operators import sets as S
 from linkloom.plans import catalogue, views
 
 FIELDS = "entity_id string, country_cleaned string, name_cleaned string, name_tokens array<string>, postal_code string"
@@ -14,7 +18,7 @@ FIELDS = "entity_id string, country_cleaned string, name_cleaned string, name_to
 def copies(spark, tmp_path_factory):
     """Three copies of the parts with shifted keys, and some keys that occur twice with one name or with two."""
     folder = tmp_path_factory.mktemp("copies")
-    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("p_partkey < 120")
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("p_partkey < 120").withColumns({"p_brand": F.lit("Brand#1"), "p_type": F.lit("SMALL")})
     again = part.where("p_partkey < 8").union(part.where("p_partkey between 8 and 11").withColumn("p_name", F.lit("blue ring")))
     part.crossJoin(spark.range(3)).withColumn("p_partkey", F.expr("p_partkey + 420 * id")).drop("id").union(again).coalesce(1).write.parquet(f"{folder}/part.parquet")
     return str(folder)
@@ -47,12 +51,65 @@ def test_large_classes_are_several_lists(spark):
     assert sum(sizes) == 5 * K.LIST and len(sizes) == 5
 
 
-@pytest.mark.parametrize("name", ["shared_pairs"])
-def test_pairs_are_written_out_last(spark, copies, name):
-    assert written_out(catalogue.QUERIES[name](spark, copies))
+@pytest.mark.parametrize("name", ["shared_pairs", "first_route", "pairs_without", "route_union", "route_token_overlap_1", "route_token_overlap_2", "route_shared_name_tokens", "route_postal_code", "route_documents_token_overlap_2", "features31"])
+def test_pairs_are_written_out_last(spark, copies, sf, name):
+    assert written_out(catalogue.QUERIES[name](spark, sf if "documents" in name else copies))
 
 
-def test_shared_pairs_of_copies(spark, copies):
-    s1, targets = catalogue.sides(spark, copies)
-    known = rows(routes.exact("name_cleaned")(s1, targets)) & rows(routes.exact("name_alphanumeric")(s1, targets))
-    assert known and rows(catalogue.QUERIES["shared_pairs"](spark, copies)) == known
+PAIRS = {
+    "shared_pairs": lambda r: S.shared_pairs(r[0][1], r[1][1]),
+    "first_route": S.first_route,
+    "pairs_without": lambda r: S.pairs_without(r[2][1], r[1][1]),
+    "route_union": lambda r: S.candidate_union([f for _, f in r]),
+}
+COUNTED = {
+    "quantiles": lambda s1, t, truth, r: E.quantiles(E.candidate_counts(s1, routes.token_overlap(1)(s1, t)), "candidates"),
+    "evaluate_token_overlap_1": lambda s1, t, truth, r: E.evaluate("token_overlap_1", s1, truth, routes.token_overlap(1)(s1, t)),
+    "evaluate_token_overlap_2": lambda s1, t, truth, r: E.evaluate("token_overlap_2", s1, truth, routes.token_overlap(2)(s1, t)),
+    "route_contribution": lambda s1, t, truth, r: E.route_contribution(r, truth),
+    "union_contribution": lambda s1, t, truth, r: E.union_contribution(r, truth),
+    "route_overlap": lambda s1, t, truth, r: E.route_overlap(r, truth),
+}
+
+
+@pytest.fixture(scope="module")
+def pairwise(spark, copies):
+    """Both sides, the known matches, and the routes on all entities."""
+    s1, targets = (x.cache() for x in catalogue.sides(spark, copies))
+    return s1, targets, views.truth(spark, copies).cache(), [(n, routes.ROUTES[n].plain(s1, targets).cache()) for n in catalogue._DIFFERENT]
+
+
+@pytest.mark.parametrize("name", PAIRS)
+def test_pairs_of_copies(spark, copies, pairwise, name):
+    known = rows(PAIRS[name](pairwise[3]))
+    assert known and rows(catalogue.QUERIES[name](spark, copies)) == known
+
+
+def test_features_of_copies(spark, copies, pairwise):
+    assert rows(catalogue.QUERIES["features31"](spark, copies)) == rows(P.pair_features(S.first_route(pairwise[3]), *pairwise[:2]))
+
+
+@pytest.mark.parametrize("name", COUNTED)
+def test_counts_of_copies(spark, copies, pairwise, monkeypatch, name):
+    """Results as of all pairs, from routes that meet a class once."""
+    known, met = rows(catalogue._rounded(COUNTED[name](*pairwise))), []
+    for n in {*catalogue._DIFFERENT, "token_overlap_1"}:
+        monkeypatch.setattr(routes.ROUTES[n], "plain", lambda s1, t, f=routes.ROUTES[n].plain: met.append(t.count()) or f(s1, t))
+    assert rows(catalogue._rounded(catalogue.QUERIES[name](spark, copies))) == known
+    assert met and max(met) < pairwise[1].count() / 2
+
+
+@pytest.mark.parametrize("name", ["experiments_name", "experiments_address", "experiment_examples", "discrimination"])
+def test_what_pairs_share_is_scored_once(spark, copies, pairwise, monkeypatch, name):
+    s1, targets, truth, _ = pairwise
+    met, field, scored = [], "address" if name.endswith("address") else "name", X.scored
+    pairs = X.matched_pairs(s1, targets, truth)
+    plain = scored(pairs, field)
+    if name == "discrimination":
+        known = X.discrimination(X.statistics(plain), X.statistics(scored(X.matched_pairs(s1, targets, X.hard_negatives(s1, targets, truth)), field)))
+    else:
+        known = X.examples(plain) if name == "experiment_examples" else X.statistics(plain)
+    known = rows(catalogue._rounded(known))
+    monkeypatch.setattr(X, "scored", lambda p, f: met.append(p.count()) or scored(p, f))
+    assert known and rows(catalogue.QUERIES[name](spark, copies)) == known
+    assert met[0] < pairs.count() / 2
