@@ -113,3 +113,11 @@ def test_what_pairs_share_is_scored_once(spark, copies, pairwise, monkeypatch, n
     monkeypatch.setattr(X, "scored", lambda p, f: met.append(p.count()) or scored(p, f))
     assert known and rows(catalogue.QUERIES[name](spark, copies)) == known
     assert met[0] < pairs.count() / 2
+
+
+@pytest.mark.parametrize("name", ["route_contribution", "union_contribution", "experiments_name", "experiments_address", "experiment_examples"])
+def test_known_matches_are_not_written_as_pairs(spark, copies, monkeypatch, name):
+    """They are counted from equal keys, so a truth without rows changes nothing."""
+    known = rows(catalogue.QUERIES[name](spark, copies))
+    monkeypatch.setattr(views, "truth", lambda *_: spark.createDataFrame([], "s1_id string, match_id string"))
+    assert known and rows(catalogue.QUERIES[name](spark, copies)) == known
