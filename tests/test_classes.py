@@ -121,3 +121,24 @@ def test_known_matches_are_not_written_as_pairs(spark, copies, monkeypatch, name
     known = rows(catalogue.QUERIES[name](spark, copies))
     monkeypatch.setattr(views, "truth", lambda *_: spark.createDataFrame([], "s1_id string, match_id string"))
     assert known and rows(catalogue.QUERIES[name](spark, copies)) == known
+
+
+@pytest.mark.parametrize("name", ["route_union", "first_route", "features31"])
+def test_routes_of_names_meet_a_name_once(spark, copies, pairwise, monkeypatch, name):
+    """Classes that differ in other fields are one to them; ids of several rows stay their own."""
+    targets, met = pairwise[1], []
+    names = targets.select("country_cleaned", "name_cleaned", "name_alphanumeric").distinct().count()
+    own = targets.groupBy("entity_id").count().where("count > 1").agg(F.sum("count")).first()[0]
+    for n in catalogue._DIFFERENT[:3]:
+        monkeypatch.setattr(routes.ROUTES[n], "plain", lambda s1, t, f=routes.ROUTES[n].plain: met.append(t.count()) or f(s1, t))
+    catalogue.QUERIES[name](spark, copies)
+    assert met and max(met) <= names + own
+
+
+def test_lists_that_others_are_repeated_for_are_short(spark):
+    """A pair of lists is written out in memory, so their product is bounded."""
+    side = lambda s: K.classes(K.classed(spark.range(4 * K.LIST).selectExpr(f"concat('{s}-', id) entity_id", "'us' country_cleaned"), ["country_cleaned"]))
+    a, b = side("S1"), side("S2")
+    pairs = a.rows.select(F.col("entity_id").alias("s1_id")).crossJoin(b.rows.select(F.col("entity_id").alias("cand_id")))
+    n, most = K.listed(pairs, a, b).selectExpr("sum(size(_s) * size(_t))", "max(size(_s))").first()
+    assert n == (4 * K.LIST) ** 2 and most < K.LIST / 4
