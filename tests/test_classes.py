@@ -123,6 +123,17 @@ def test_known_matches_are_not_written_as_pairs(spark, copies, monkeypatch, name
     assert known and rows(catalogue.QUERIES[name](spark, copies)) == known
 
 
+def test_the_unions_size_is_counted_from_names(spark, copies, monkeypatch):
+    """Where names have classes of their own, no route of names meets all fields, known matches or not."""
+    met = []
+    columns = lambda df: met.append(len(df.columns))
+    for n in catalogue._DIFFERENT[:3]:
+        monkeypatch.setattr(routes.ROUTES[n], "plain", lambda s1, t, f=routes.ROUTES[n].plain: columns(t) or f(s1, t))
+    catalogue.QUERIES["union_contribution"](spark, copies)
+    names = {c for n in catalogue._DIFFERENT[:3] for c in routes.ROUTES[n].columns}
+    assert met and max(met) <= 2 + len(names)
+
+
 @pytest.mark.parametrize("name", ["route_union", "first_route", "features31"])
 def test_routes_of_names_meet_a_name_once(spark, copies, pairwise, monkeypatch, name):
     """Classes that differ in other fields are one to them; ids of several rows stay their own."""
