@@ -1,8 +1,11 @@
 import hashlib
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.functions import similarity as M
 from linkloom.operators import experiments as X
 from linkloom.plans.entities import normalized, split_sources
 from linkloom.sources import jobs
@@ -90,6 +93,24 @@ def test_every_entity_gets_a_negative(spark):
         assert all(r.match_id == f"S2-{4 + int(r.s1_id[3:]) % 2}" for r in got)
 
 
+def test_dice_counts_repeats(spark):
+    """As counted one by one, of texts with many equal pairs, and no text's pairs are made anew for each pair."""
+    r = random.Random(5)
+    texts = [("".join(r.choice("ab é1") for _ in range(r.randrange(40))), "".join(r.choice("ab é1") for _ in range(r.randrange(40)))) for _ in range(200)]
+    df = spark.createDataFrame(texts, "a string, b string").select("a", "b", M.dice(F.col("a"), F.col("b")).alias("d"))
+    grams = lambda x: Counter(x[i : i + 2] for i in range(len(x) - 1))
+    known = lambda a, b: 1.0 if a == b else 0.0 if min(len(a), len(b)) < 2 else 2 * (grams(a) & grams(b)).total() / (len(a) + len(b) - 2)
+    assert [x for x in df.collect() if abs(x.d - known(x.a, x.b)) > 1e-12] == []
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("substring(") == 2
+
+
+def test_a_baseline_is_scored_once(spark):
+    """Rows are made of scores that are columns: no score is computed for each row that it is the baseline of."""
+    pairs = spark.createDataFrame([("Red Ring", "red ring ltd", 2)], "a_business_name string, b_business_name string, n long")
+    plan = X.scored(pairs, "name")._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring" not in next(x for x in plan.splitlines() if "Generate explode" in x)
+
+
 def test_dice(spark):
     from linkloom.functions import similarity as M
 
