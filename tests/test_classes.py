@@ -89,6 +89,15 @@ def test_features_of_copies(spark, copies, pairwise):
     assert rows(catalogue.QUERIES["features31"](spark, copies)) == rows(P.pair_features(S.first_route(pairwise[3]), *pairwise[:2]))
 
 
+def test_features_meet_in_as_many_tasks_as_they_write(spark, copies, pairwise, monkeypatch):
+    """However small the rows that meet are; and each two sets of a pair are compared once."""
+    monkeypatch.setattr(K, "TASK", 8)
+    found = catalogue.QUERIES["features31"](spark, copies)
+    assert found.rdd.getNumPartitions() > S.first_route(pairwise[3]).count() / 16 > 4
+    assert rows(found) == rows(P.pair_features(S.first_route(pairwise[3]), *pairwise[:2]))
+    assert not any("array_" in str(c) for c in P._columns().values())
+
+
 @pytest.mark.parametrize("name", COUNTED)
 def test_counts_of_copies(spark, copies, pairwise, monkeypatch, name):
     """Results as of all pairs, from routes that meet a class once."""
