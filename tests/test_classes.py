@@ -89,6 +89,14 @@ def test_features_of_copies(spark, copies, pairwise):
     assert rows(catalogue.QUERIES["features31"](spark, copies)) == rows(P.pair_features(S.first_route(pairwise[3]), *pairwise[:2]))
 
 
+@pytest.mark.parametrize("name", ["token_overlap_1", "shared_name_tokens"])
+def test_pairs_are_written_by_as_many_tasks_as_they_ask_for(spark, sides, monkeypatch, name):
+    """However few the classes that they come from."""
+    monkeypatch.setattr(K, "TASK", 16)
+    found, known = routes.ROUTES[name](*sides), rows(routes.ROUTES[name].plain(*sides))
+    assert found.rdd.getNumPartitions() > known.total() / 32 > 4 and rows(found) == known
+
+
 def test_features_meet_in_as_many_tasks_as_they_write(spark, copies, pairwise, monkeypatch):
     """However small the rows that meet are; and each two sets of a pair are compared once."""
     monkeypatch.setattr(K, "TASK", 8)
